@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, types as T
 
@@ -297,7 +298,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = _BATCH_BYTES) -> Ite
 
 
 def _offsets(column: pa.Array) -> bytes:
-    lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64).tobytes()
 
 

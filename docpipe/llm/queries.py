@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docpipe.llm import bpe
+from docpipe.llm import bpe, counts, dac
 
 #: Folder with the vocabulary files of public tokenizers.
 TOKENIZERS = os.environ.get("DOCPIPE_TOKENIZERS", "")
@@ -36,7 +36,20 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return dac.read_tokens(dac.write_tokens(docs, vocabulary("byte_bpe_50k.json"), end_id=2), dac.crc, "ids_crc32 long")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = counts.count_tokens(docs, vocabulary("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
+    "op7_token_counts": op7_token_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 ORACLES: dict[str, str] = {}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 import zipfile
@@ -62,5 +61,4 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, n)
                     z.write(full, os.path.join("docpipe", os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(target)
-    _SHIPPED[app] = target
-    shutil.rmtree(where, ignore_errors=True)
+    _SHIPPED[app] = target  # the file stays: executors that start later fetch it too
