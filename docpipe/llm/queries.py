@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docpipe.llm import bpe, counts, dac
+from docpipe.llm import bpe, counts, dac, lines, quality, sharding
 
 #: Folder with the vocabulary files of public tokenizers.
 TOKENIZERS = os.environ.get("DOCPIPE_TOKENIZERS", "")
@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    judged = quality.judge(docs)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_documents(docs, vocabulary("word_bpe_49k.json"))
@@ -41,6 +47,24 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_tokens(dac.write_tokens(docs, vocabulary("byte_bpe_50k.json"), end_id=2), dac.crc, "ids_crc32 long")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = lines.mark(docs)
+    return marked.select(
+        "doc_id",
+        F.size("exact_lines").cast("long").alias("n_exact"),
+        F.size("near_lines").cast("long").alias("n_near"),
+        F.array_join("exact_lines", ",").alias("exact_lines"),
+        F.array_join("near_lines", ",").alias("near_lines"),
+    )
+
+
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = sharding.assign(docs, shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = counts.count_tokens(docs, vocabulary("piece_bpe_32k.model"))
@@ -49,7 +73,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_line_dedup": op3_line_dedup,
+    "op6_shards": op6_shards,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_rules": op8_quality_rules,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 ORACLES: dict[str, str] = {}
