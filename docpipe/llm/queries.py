@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docpipe.llm import bpe, counts, dac, lines, quality, sharding
+from docpipe.llm import bpe, counts, dac, decontaminate, lines, minhash, quality, resample, sharding, urls
 
 #: Folder with the vocabulary files of public tokenizers.
 TOKENIZERS = os.environ.get("DOCPIPE_TOKENIZERS", "")
@@ -42,6 +42,21 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The fixed rules of the URL filter.
+URL_RULES = [
+    urls.Rule("com/", "allow"),
+    urls.Rule("example.com/en/", "block"),
+    urls.Rule("www.example.com/en/", "allow"),
+    urls.Rule("net/es/", "block"),
+    urls.Rule("net/fr/", "block"),
+]
+
+
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.mark(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return dac.read_tokens(dac.write_tokens(docs, vocabulary("byte_bpe_50k.json"), end_id=2), dac.crc, "ids_crc32 long")
@@ -59,6 +74,17 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urls.judge(pages, table(spark, sf_dir, "labels"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     placed = sharding.assign(docs, shards=24)
@@ -71,12 +97,21 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op10_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_token_files": op2_token_files,
     "op3_line_dedup": op3_line_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op5_decontamination": op5_decontamination,
     "op6_shards": op6_shards,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_resampling": op10_resampling,
 }
 ORACLES: dict[str, str] = {}
