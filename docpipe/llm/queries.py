@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docpipe.llm import bpe, counts, dac, decontaminate, lines, minhash, quality, resample, sharding, urls
+from docpipe.llm import bpe, counts, dac, decontaminate, lines, minhash, oracles, quality, resample, sharding, urls
 
 #: Folder with the vocabulary files of public tokenizers.
 TOKENIZERS = os.environ.get("DOCPIPE_TOKENIZERS", "")
@@ -114,4 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_resampling": op10_resampling,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": oracles.LINES,
+    "op8_quality_rules": oracles.QUALITY,
+}
