@@ -115,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_resampling": op10_resampling,
 }
 ORACLES: dict[str, str] = {
+    "op1_near_duplicates": oracles.NEAR,
     "op3_line_dedup": oracles.LINES,
     "op8_quality_rules": oracles.QUALITY,
 }
