@@ -96,10 +96,11 @@ def test_urls(spark):
     assert plain.where(F.lit(False)).count() == 0
 
 
-def test_masks_find_every_window_with_three_other_words():
+def test_masks_find_every_window_that_counts():
     on = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
-    for wrong in itertools.combinations(range(16), 3):
-        assert any(all(s + i not in wrong for i in m) for m, mask in zip(on, decontaminate.MASKS, strict=True) for s in range(16 - len(mask) + 1))
+    for size, most in ((13, 2), (16, 3), (9, 1)):
+        for wrong in itertools.combinations(range(size), most):
+            assert any(all(s + i not in wrong for i in m) for m, mask in zip(on, decontaminate.MASKS, strict=True) for s in range(size - len(mask) + 1))
 
 
 def brute_leaks(docs, items):
@@ -108,8 +109,8 @@ def brute_leaks(docs, items):
         w = decontaminate.folded(t or "")
         for i, x in items:
             v = decontaminate.folded(x or "")
-            k = min(16, len(v))
-            if len(v) >= 8 and any(sum(a == b for a, b in zip(w[p : p + k], v[q : q + k], strict=True)) >= k - 3 * k // 16 for p in range(len(w) - k + 1) for q in range(len(v) - k + 1)):
+            k = min(decontaminate.WINDOW, len(v))
+            if len(v) >= decontaminate.MIN_ITEM_WORDS and any(sum(a == b for a, b in zip(w[p : p + k], v[q : q + k], strict=True)) + decontaminate.MAX_WRONG * k // decontaminate.WINDOW >= k for p in range(len(w) - k + 1) for q in range(len(v) - k + 1)):
                 out.add((d, i))
     return out
 
