@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, types as T
 
+from docpipe.llm.names import others
 from docpipe.llm.storage import ship
 
 _LAST = 0x2000  # added to the code point of a word's last symbol, which stands for the word-end mark
@@ -304,7 +305,7 @@ def _offsets(column: pa.Array) -> bytes:
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded_text") -> DataFrame:
     """Add the token ids of ``text`` (an array of integers) and the text that they decode to."""
-    kept = [c for c in docs.columns if c not in (ids, decoded)]
+    kept = others(docs.columns, (ids, decoded))
     docs = docs.select(*[docs[f"`{c}`"] for c in kept])
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded, T.StringType(), False)])
     ship(docs.sparkSession)

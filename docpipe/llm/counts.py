@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 from docpipe.llm.bpe import pieces
+from docpipe.llm.names import others
 from docpipe.llm.storage import ship
 
 SPACE = "▁"
@@ -111,7 +112,7 @@ def piece_counter(path: str, chunk: int, overlap: int) -> PieceCounter:
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", chunk: int = 1 << 15, overlap: int = 1 << 10) -> DataFrame:
     """Add n_bytes (UTF-8) and n_tokens of ``text``; columns of these names are replaced."""
-    kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
+    kept = others(docs.columns, ("n_bytes", "n_tokens"))
     docs = docs.select(*[docs[f"`{c}`"] for c in kept])
     schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType(), False), T.StructField("n_tokens", T.LongType(), False)])
     ship(docs.sparkSession)

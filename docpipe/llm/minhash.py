@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from docpipe.llm.bpe import pieces
 from docpipe.llm.graph import components
+from docpipe.llm.names import free_prefix
 from docpipe.llm.storage import shared_dir, ship, written
 
 BANDS, ROWS, BLOCK = 22, 4, 2000
@@ -253,5 +254,6 @@ def mark(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) ->
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """The documents without those of which a near duplicate with a smaller id stays."""
-    gone = mark(docs, text, doc_id, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
+    p = free_prefix(docs.columns)
+    gone = mark(docs, text, doc_id, **how).where(~F.col("kept")).select(F.col("doc_id").alias(f"{p}gone")).distinct()
+    return docs.join(gone, F.col(f"`{doc_id}`") == F.col(f"{p}gone"), "left_anti")

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docpipe.llm.names import free_prefix, others
+
 WHITE = r"[ \t-\r]+"
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_lines", "removed_words", "kept")
 _SALTS = 16
@@ -81,36 +83,37 @@ def judge(
     documents hold it; a document is depleted if fewer than ``min_left_percent`` per cent of its words are left.
     ``removed_lines`` lists the positions of removed lines, from 0.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in OUTPUTS])
+    docs = docs.select(*[F.col(f"`{c}`") for c in others(docs.columns, OUTPUTS)])
+    p = free_prefix(docs.columns)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    keys = [F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("\x00")).alias("_host"), F.xxhash64(body).alias("_t1"), F.xxhash64(F.lit(1), body).alias("_t2")]
-    texts = ["_host", "_t1", "_t2"]
+    keys = [F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("\x00")).alias(f"{p}host"), F.xxhash64(body).alias(f"{p}t1"), F.xxhash64(F.lit(1), body).alias(f"{p}t2")]
+    texts = [f"{p}host", f"{p}t1", f"{p}t2"]
 
-    lines = docs.select(*keys, F.posexplode(F.split(body, "\n", -1)).alias("_pos", "_line"))
-    lines = lines.withColumn("_normal", normal_line(F.col("_line"))).where(F.col("_normal") != "")
-    lines = lines.select(*texts, "_pos", F.xxhash64("_normal").alias("_hash"), (F.length("_normal") - F.length(F.translate("_normal", " ", "")) + 1).alias("_words"))
+    lines = docs.select(*keys, F.posexplode(F.split(body, "\n", -1)).alias(f"{p}pos", f"{p}line"))
+    lines = lines.withColumn(f"{p}normal", normal_line(F.col(f"{p}line"))).where(F.col(f"{p}normal") != "")
+    lines = lines.select(*texts, f"{p}pos", F.xxhash64(f"{p}normal").alias(f"{p}hash"), (F.length(f"{p}normal") - F.length(F.translate(f"{p}normal", " ", "")) + 1).alias(f"{p}words"))
     # Copies of one text in one host fall together here; from now on each text counts once.
-    lines = lines.groupBy(*texts, "_pos").agg(F.first("_hash").alias("_hash"), F.first("_words").alias("_words"))
-    held = lines.groupBy("_host", "_hash").agg(F.countDistinct("_t1", "_t2").alias("_docs")).where(F.col("_docs") > line_min_docs)
-    hosts = docs.select(*keys).groupBy("_host").agg(F.countDistinct("_t1", "_t2").alias("_all"))
-    frequent = held.join(hosts, "_host").where(F.col("_docs") > F.col("_all") * F.lit(line_max_share)).select("_host", "_hash")
+    lines = lines.groupBy(*texts, f"{p}pos").agg(F.first(f"{p}hash").alias(f"{p}hash"), F.first(f"{p}words").alias(f"{p}words"))
+    held = lines.groupBy(f"{p}host", f"{p}hash").agg(F.countDistinct(f"{p}t1", f"{p}t2").alias(f"{p}docs")).where(F.col(f"{p}docs") > line_min_docs)
+    hosts = docs.select(*keys).groupBy(f"{p}host").agg(F.countDistinct(f"{p}t1", f"{p}t2").alias(f"{p}all"))
+    frequent = held.join(hosts, f"{p}host").where(F.col(f"{p}docs") > F.col(f"{p}all") * F.lit(line_max_share)).select(f"{p}host", f"{p}hash")
     # A line that a third of all documents hold would be one key: both sides are dealt by a salt as well.
-    frequent = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    salted = lines.withColumn("_salt", F.pmod(F.col("_t2"), F.lit(_SALTS)).cast("int"))
-    removed = salted.join(frequent, ["_host", "_hash", "_salt"]).groupBy(*texts).agg(F.sum("_words").cast("long").alias("removed_words"), F.sort_array(F.collect_list("_pos")).alias("removed_lines"))
+    frequent = frequent.withColumn(f"{p}salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = lines.withColumn(f"{p}salt", F.pmod(F.col(f"{p}t2"), F.lit(_SALTS)).cast("int"))
+    removed = salted.join(frequent, [f"{p}host", f"{p}hash", f"{p}salt"]).groupBy(*texts).agg(F.sum(f"{p}words").cast("long").alias("removed_words"), F.sort_array(F.collect_list(f"{p}pos")).alias("removed_lines"))
 
-    figures = docs.select("*", *keys, base_metrics(F.col(f"`{text}`")).alias("_m"))
+    figures = docs.select("*", *keys, base_metrics(F.col(f"`{text}`")).alias(f"{p}m"))
     joined = figures.join(removed, texts, "left")
-    n_words, repeat = F.col("_m.w.n_words"), F.col("_m.w.n_repeat_words")
+    n_words, repeat = F.col(f"{p}m.w.n_words"), F.col(f"{p}m.w.n_repeat_words")
     gone = F.coalesce(F.col("removed_words"), F.lit(0).cast("long"))
     failed = (n_words < min_words) | (repeat * 100 > n_words * max_repeat_percent)
     depleted = (n_words - gone) * 100 < n_words * min_left_percent
     return joined.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         n_words.alias("n_words"),
-        F.col("_m.word_chars").alias("word_chars"),
-        F.col("_m.n_symbols").alias("n_symbols"),
-        F.col("_m.n_dup_lines").alias("n_dup_lines"),
+        F.col(f"{p}m.word_chars").alias("word_chars"),
+        F.col(f"{p}m.n_symbols").alias("n_symbols"),
+        F.col(f"{p}m.n_dup_lines").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"),
         failed.alias("base_failed"),
         F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"),

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docpipe.llm.bpe import pieces
+from docpipe.llm.names import free_prefix, others
 from docpipe.llm.storage import ship, written
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -121,34 +122,35 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
         share = 1.0 if share is None else share
     plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     weights = spark.sparkContext.broadcast(log_ratio(*bucket_counts(plain, good, buckets)))
-    kept = [c for c in docs.columns if c not in (*OUTPUTS, text)]
-    rest = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_text"), F.xxhash64(F.lit("draw"), F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("_noise"))
-    schema = T.StructType([*[f for f in rest.schema.fields if f.name not in ("_text", "_noise")], T.StructField("n_grams", T.LongType()), T.StructField("importance", T.DoubleType()), T.StructField("draw", T.DoubleType()), T.StructField("_bits", T.LongType())])
+    kept = others(docs.columns, (*OUTPUTS, text))
+    p = free_prefix(docs.columns)
+    rest = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(f"{p}text"), F.xxhash64(F.lit("draw"), F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias(f"{p}noise"))
+    schema = T.StructType([*[f for f in rest.schema.fields if f.name not in (f"{p}text", f"{p}noise")], T.StructField("n_grams", T.LongType()), T.StructField("importance", T.DoubleType()), T.StructField("draw", T.DoubleType()), T.StructField(f"{p}bits", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = Hasher(buckets), weights.value
         for batch in batches:
-            for part in pieces(batch, "_text"):
+            for part in pieces(batch, f"{p}text"):
                 n, score = [], []
-                for t in part.column("_text").to_pylist():
+                for t in part.column(f"{p}text").to_pylist():
                     found = hasher(t) if t else np.zeros(0, np.int64)
                     n.append(len(found))
                     score.append(float(table[found].sum()))
-                noise = part.column("_noise").to_numpy(zero_copy_only=False).view(np.uint64)
+                noise = part.column(f"{p}noise").to_numpy(zero_copy_only=False).view(np.uint64)
                 u = ((noise >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
                 draw = np.array(score) / temperature - np.log(-np.log(u))
                 raw = draw.view(np.int64)
                 order = np.where(raw < 0, ~raw, raw | np.int64(-(1 << 63)))  # as unsigned numbers in the order of draw
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(score, pa.float64()), pa.array(draw), pa.array(order)], names=[*kept, "n_grams", "importance", "draw", "_bits"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(score, pa.float64()), pa.array(draw), pa.array(order)], names=[*kept, "n_grams", "importance", "draw", f"{p}bits"])
 
     scored = written(rest.mapInArrow(run, schema), "resample-scores")
     n = scored.count()
     size = k if k is not None else round(share * n)
     if size <= 0:
-        return scored.drop("_bits").withColumn("kept", F.lit(False))
+        return scored.drop(f"{p}bits").withColumn("kept", F.lit(False))
     if size >= n:
-        return scored.drop("_bits").withColumn("kept", F.lit(True))
-    limit = kth_largest(scored, "_bits", size)
+        return scored.drop(f"{p}bits").withColumn("kept", F.lit(True))
+    limit = kth_largest(scored, f"{p}bits", size)
     signed = limit - (1 << 64) if limit >= 1 << 63 else limit
-    above = F.col("_bits").bitwiseXOR(F.lit(-(1 << 63))) >= F.lit(signed ^ -(1 << 63))
-    return scored.withColumn("kept", above).drop("_bits")
+    above = F.col(f"{p}bits").bitwiseXOR(F.lit(-(1 << 63))) >= F.lit(signed ^ -(1 << 63))
+    return scored.withColumn("kept", above).drop(f"{p}bits")

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from docpipe.llm.names import free_prefix, others
 from docpipe.llm.storage import ship, written
 
 LAW = "bytes"
@@ -81,18 +82,18 @@ def assign(docs: DataFrame, shards: int = 24, text: str = "text", order: Column
     ship(spark)
     order = F.col("doc_id") if order is None else order
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    outputs = {"size", "text_crc32", "shard", "slot", text}
-    kept = [c for c in docs.columns if c not in outputs]
+    kept = others(docs.columns, ("size", "text_crc32", "shard", "slot", text))
+    p = free_prefix(docs.columns)
     rows = docs.select(
         *[F.col(f"`{c}`") for c in kept],
-        order.alias("_order"),
+        order.alias(f"{p}order"),
         (F.octet_length(body).cast("long") + 8).alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        F.xxhash64(F.col(f"`{text}`").isNull(), body).alias("_key"),
+        F.xxhash64(F.col(f"`{text}`").isNull(), body).alias(f"{p}key"),
     )
     rows = written(rows, "shard-rows")
-    groups = rows.groupBy("_key", "size", "text_crc32").agg((F.count(F.lit(1)) * F.col("size")).alias("bytes"))
-    groups = groups.select(F.col("_key"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "bytes")
+    groups = rows.groupBy(f"{p}key", "size", "text_crc32").agg((F.count(F.lit(1)) * F.col("size")).alias("bytes"))
+    groups = groups.select(F.col(f"{p}key").alias("_key"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "bytes")
     total = rows.count()
     parts = max(1, -(-total // groups_in_part))
     groups = groups.withColumn("part", F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(parts)))
@@ -107,12 +108,12 @@ def assign(docs: DataFrame, shards: int = 24, text: str = "text", order: Column
 
     dealt = written(groups.groupBy("part").applyInPandas(differenced, "_key long, _size long, _crc long, bytes long, part long, from_set long"), "shard-groups")
     sums = dealt.groupBy("part", F.col("from_set").alias("set_no")).agg(F.sum("bytes").alias("bytes"))
-    shard_of = dealt.join(_rounds(sums, k, fan_in), ["part", "from_set"]).select("_key", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard")
-    placed = rows.join(shard_of, ["_key", "size", "text_crc32"])
+    shard_of = dealt.join(_rounds(sums, k, fan_in), ["part", "from_set"]).select(F.col("_key").alias(f"{p}key"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard")
+    placed = rows.join(shard_of, [f"{p}key", "size", "text_crc32"])
     # Slots: places inside many small chunks of a shard first, then the chunks' starts; no task sorts a whole shard.
     chunks = max(1, -(-total // rows_in_part))
-    placed = placed.withColumn("_chunk", F.pmod(F.xxhash64("_order", "_key"), F.lit(chunks)))
-    placed = placed.withColumn("_in_chunk", F.row_number().over(Window.partitionBy("shard", "_chunk").orderBy("_order", "_key")) - 1)
-    counts = placed.groupBy("shard", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return placed.join(starts, ["shard", "_chunk"]).select(*[F.col(f"`{c}`") for c in kept], "size", "text_crc32", "shard", (F.col("_start") + F.col("_in_chunk")).alias("slot"))
+    placed = placed.withColumn(f"{p}chunk", F.pmod(F.xxhash64(f"{p}order", f"{p}key"), F.lit(chunks)))
+    placed = placed.withColumn(f"{p}in_chunk", F.row_number().over(Window.partitionBy("shard", f"{p}chunk").orderBy(f"{p}order", f"{p}key")) - 1)
+    counts = placed.groupBy("shard", f"{p}chunk").agg(F.count(F.lit(1)).alias(f"{p}n"))
+    starts = counts.withColumn(f"{p}start", F.coalesce(F.sum(f"{p}n").over(Window.partitionBy("shard").orderBy(f"{p}chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(f"{p}n")
+    return placed.join(starts, ["shard", f"{p}chunk"]).select(*[F.col(f"`{c}`") for c in kept], "size", "text_crc32", "shard", (F.col(f"{p}start") + F.col(f"{p}in_chunk")).alias("slot"))

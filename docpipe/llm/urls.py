@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docpipe.llm.names import free_prefix, others
 from docpipe.llm.storage import shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -102,7 +103,8 @@ def blocked(urls: DataFrame, rules: DataFrame, frequencies: DataFrame) -> DataFr
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], page_id: str = "page_id", label_id: str = "doc_id", **limits) -> DataFrame:
     """Add host, path, rule and verdict to each page; columns of these names are replaced."""
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "mined")]
+    kept = others(pages.columns, ("host", "path", "rule", "verdict", "mined"))
+    p = free_prefix(pages.columns)
     shared_dir(pages.sparkSession)
     url = F.col("url")
     pages = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(url).alias("host"), path_of(url).alias("path"))
@@ -116,8 +118,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], page_id: str =
     else:
         frequencies = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().withColumnRenamed("count", "n")
         urls = pages.select(F.xxhash64(F.coalesce(url, F.lit(""))).alias("key"), tokens.alias("tokens")).dropDuplicates(["key"])
-        hit = blocked(urls, mined, frequencies).withColumn("mined", F.lit(True))
-        judged = pages.withColumn("key", F.xxhash64(F.coalesce(url, F.lit("")))).join(hit, "key", "left").withColumn("mined", F.coalesce("mined", F.lit(False)))
-    found = judged.withColumn("_fixed", fixed)
-    verdict = F.coalesce(F.col("_fixed.verdict"), F.when(F.col("mined"), "block").otherwise("allow"))
-    return found.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col("_fixed.rule").alias("rule"), verdict.alias("verdict"), "mined")
+        hit = blocked(urls, mined, frequencies).select(F.col("key").alias(f"{p}key"), F.lit(True).alias("mined"))
+        judged = pages.withColumn(f"{p}key", F.xxhash64(F.coalesce(url, F.lit("")))).join(hit, f"{p}key", "left").withColumn("mined", F.coalesce("mined", F.lit(False)))
+    found = judged.withColumn(f"{p}fixed", fixed)
+    verdict = F.coalesce(F.col(f"{p}fixed.verdict"), F.when(F.col("mined"), "block").otherwise("allow"))
+    return found.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col(f"{p}fixed.rule").alias("rule"), verdict.alias("verdict"), "mined")
