@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docpipe.functions.access import DOC, documents
+from docpipe.plans.explain import suggestions
 from docpipe.plans.pipeline import Pipeline
+from docpipe.service.service import Engine
 from docpipe.sources.changelog import latest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,3 +266,54 @@ add_document(
     "json_lookup_size", [where(test("SMALLER_THAN", "props.k", 3)), {"type": "JOIN", "joinCollection": "events", "localField": "props", "remoteField": "props", "asField": "same"}, mapped(add_field("n", {"type": "SIZE", "operand": "same"}), add_field("same", None))],
     lambda df: df.select(_field("_id", "string"), _field("n", "long")), f"SELECT CAST(event_id AS VARCHAR) AS _id, n FROM events JOIN (SELECT {_K} AS k2, count(*) AS n FROM events GROUP BY 1) ON {_K} = k2 WHERE {_K} < 3",
 )
+
+# Point lookup, advice and live queries
+
+QUERIES["find_by_id"] = lambda spark, sf_dir: table(spark, sf_dir, "orders").where(F.col("o_orderkey") == 42).limit(1)
+ORACLES["find_by_id"] = "SELECT * FROM orders WHERE o_orderkey = 42"
+
+
+def bulk_save_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a batch's ids are inserts and which updates."""
+    batch = table(spark, sf_dir, "orders").where(F.col("o_custkey") % 7 == 0).select(F.col("o_custkey").alias("_id")).distinct()
+    have = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 2 == 0).select(F.col("c_custkey").alias("_id"))
+    return batch.join(have, "_id", "left_semi").withColumn("change", F.lit("updated")).unionByName(batch.join(have, "_id", "left_anti").withColumn("change", F.lit("inserted")))
+
+
+QUERIES["bulk_save_classified"] = bulk_save_classified
+ORACLES["bulk_save_classified"] = "SELECT DISTINCT o_custkey AS _id, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) THEN 'updated' ELSE 'inserted' END AS change FROM orders WHERE o_custkey % 7 = 0"
+
+
+def analyze_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = Pipeline.parse([{"type": "SORT", "fieldName": "o_orderdate", "ascending": True}, where(test("EQUALS", "o_orderstatus", "f"))]).steps
+    return spark.createDataFrame([(s,) for s in suggestions(steps, False)], "suggestion string")
+
+
+QUERIES["analyze_suggestions"] = analyze_suggestions
+ORACLES["analyze_suggestions"] = (
+    "SELECT unnest(['No index was used for this query. Consider creating an index on: o_orderdate, o_orderstatus.',"
+    " 'FILTER step on field ''o_orderstatus'' at step 2 is not the first step; move it to the top of the pipeline so it can use an index and reduce documents scanned.']) AS suggestion"
+)
+
+
+def listen_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live count over a stored collection: its first result, then what is pushed after a change that matters and one that doesn't."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='docpipe-live-')}"
+    engine = Engine(spark, f"{root.rstrip('/')}/live-{uuid.uuid4().hex}", listen_interval="0 seconds")
+    store = engine.catalog.create_collection("live", "events")
+    store.load(table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("event_id").cast("string").alias("_id"), "event_type")).alias("json")), "json")
+    pipeline = Pipeline.parse([where(test("EQUALS", "event_type", "click")), {"type": "COUNT"}])
+    pushed: list[dict] = []
+    _, first = engine.listeners.add(lambda: engine.compile("live", "events", pipeline), [store.path], pipeline.sorted_at_end, pushed.append)
+    try:
+        for added in ({"_id": "new-1", "event_type": "click"}, {"_id": "new-2", "event_type": "other"}):
+            store.save([added])
+            engine.listeners.settle()
+    finally:
+        engine.listeners.stop_where(lambda _: True)
+    rows = [(0, first[0]["count"]), *[(n, p["results"][0]["count"]) for n, p in enumerate(pushed, 1)]]
+    return spark.createDataFrame(rows, "push int, count long")
+
+
+QUERIES["listen_changed"] = listen_changed
+ORACLES["listen_changed"] = "SELECT CAST(k AS INTEGER) AS push, count(*) + k AS count FROM events, (SELECT unnest([0, 1]) AS k) WHERE lower(event_type) = 'click' GROUP BY k"
