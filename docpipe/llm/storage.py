@@ -26,7 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docpipe/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the application ends."""
+    at = f"{shared_dir(spark)}/docpipe/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,15 +41,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Delete the files behind a frame that :func:`written` returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package: once per application, as a zip that Spark sends to executors."""
     app = spark.sparkContext.applicationId
