@@ -12,18 +12,23 @@ joined with that of the shared half. In a group of equal variants the earliest l
 gives as many pairs as it has lines; the edit distance of each pair is then verified on its words.
 
 Defined results: a null text has one empty line and stays null; rows of one id and equal text count as one document and get
-the same result; null ids come first; ties between rows of one id are between positions; extra columns are kept.
+the same result; null ids come first; different texts of one id rank by
+position; extra columns are kept.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docpipe.llm.quality import let, normal_line, without_lines
+from docpipe.llm.names import free_prefix, others
+from docpipe.llm.quality import let, without_lines
 from docpipe.llm.storage import written
 
 _SALTS = 8
-_BITS = 22  # of the filter that spares most other lines the way to the variants; its size is fixed
+_BITS = 22  # of the filter that spares most texts the way to the variants; its size is fixed
+_HALVES = ("k0", "k1", "k2", "k3")
 
 
 def _text_keys(text: Column) -> list[Column]:
@@ -31,50 +36,64 @@ def _text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2")]
 
 
-def _half(n: Column, words: Column, first: bool) -> Column:
-    """Hash of the first n // 2 words, or of the last n - n // 2."""
-    p = F.floor(n / 2).cast("int")
-    part = F.slice(words, F.lit(1), p) if first else F.slice(words, F.size(words) - (n - p) + 1, n - p)
-    return F.xxhash64(n, F.lit(first), part)
+def _folded(text: Column) -> Column:
+    """A text whose lines are in normal form once they are trimmed; the pattern is only run where there is something to fold."""
+    other = reduce(lambda a, b: a | b, [F.instr(text, c) > 0 for c in "\t\x0b\x0c\r"])
+    plain = F.when(other, F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")).otherwise(F.lower(text))
+    return let(plain, lambda x: F.when(F.instr(x, "  ") > 0, F.regexp_replace(x, " +", " ")).otherwise(x))
+
+
+def _place(doc: Column, pos: Column) -> Column:
+    """(doc, pos) as one number that orders like the pair, null ids first."""
+    return F.coalesce(doc.cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)")) * F.lit(4294967296).cast("decimal(10,0)") + pos
+
+
+def _exploded(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
+    # Folded before they are exploded: what stands after would be repeated wherever a line is used.
+    body = _folded(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    lines = docs.select(*keep, F.posexplode(F.transform(F.split(body, "\n", -1), lambda x: F.trim(x))).alias("pos", "line"))
+    return lines.where(F.col("line") != "")
 
 
 def _features(docs: DataFrame, text: str, doc_id: str, min_words: int, min_edit_words: int) -> DataFrame:
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    lines = docs.select(F.col(f"`{doc_id}`").alias("doc"), *_text_keys(F.col(f"`{text}`")), F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"))
+    """Each line with its hashes, its number of words and the hashes of its halves.
 
-    def of(line: Column) -> Column:
-        def halves(words: Column) -> Column:
-            n = F.size(words)
-            own = F.array(_half(n, words, True), _half(n, words, False))
-            less = F.array(_half(n - 1, words, True), _half(n - 1, words, False))
-            # In order: first and second half for n words, then for n - 1; 0 words less than that are never near.
-            return F.struct(n.alias("n"), F.when(n > min_edit_words, F.concat(own, less)).when(n == min_edit_words, own).otherwise(F.array().cast("array<bigint>")).alias("halves"))
+    k0, k1: first n // 2 and last n - n // 2 words; k2, k3: the same cut for n - 1, with one word more in the middle left out.
+    """
+    found = _exploded(docs, text, F.col(f"`{doc_id}`").cast("long").alias("doc"), *_text_keys(F.col(f"`{text}`")))
+    line = F.col("line")
+    found = found.withColumn("n", F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_words)
 
-        return F.when(line != "", F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), let(F.split(line, " "), halves).alias("w")))
+    def half(less: int, first: bool) -> Column:
+        n = F.col("n") - less
+        p = F.floor(n / 2).cast("int")
+        part = F.call_function("substring_index", line, F.lit(" "), p if first else p - n)
+        return F.when(n >= min_edit_words, F.xxhash64(n, F.lit(first), part))
 
-    found = lines.select("doc", "t1", "t2", "pos", let(normal_line(F.col("line")), of).alias("f")).where(F.col("f.w.n") >= min_words)
-    return found.select("doc", "t1", "t2", "pos", F.col("f.h1").alias("h1"), F.col("f.h2").alias("h2"), F.col("f.w.n").alias("n"), F.col("f.w.halves").alias("halves"))
+    halves = [half(less, first).alias(k) for k, (less, first) in zip(_HALVES, ((0, True), (0, False), (1, True), (1, False)), strict=True)]
+    return found.select("doc", "t1", "t2", "pos", _place(F.col("doc"), F.col("pos")).alias("at"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), "n", *halves)
 
 
-def _filter_bits(hashes: DataFrame) -> Column:
-    """A filter on ``h1``, of fixed size: false only for lines that aren't in ``hashes``."""
-    bucket = F.pmod(F.col("h1"), F.lit(1 << _BITS))
-    rows = hashes.groupBy(F.shiftright(bucket, 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(h1, 64) as int))")).alias("bits")).collect()
+def _filter_bits(hashes: DataFrame, column: str) -> Column:
+    """A filter of fixed size on a column of hashes: false only for values that aren't in ``hashes``."""
+    bucket = F.pmod(F.col(column), F.lit(1 << _BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")
+    rows = hashes.groupBy(F.shiftright(bucket, 6).alias("slot")).agg(F.bit_or(bit).alias("bits")).collect()
     slots = [0] * (1 << (_BITS - 6))
     for r in rows:
         slots[r["slot"]] = r["bits"]
     table = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<bigint>")
-    return F.expr("shiftleft(1L, cast(pmod(h1, 64) as int))").bitwiseAND(F.get(table, F.shiftright(bucket, 6).cast("int"))) != 0
+    return bit.bitwiseAND(F.get(table, F.shiftright(bucket, 6).cast("int"))) != 0
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(h1, h2, first, kind, variant): kind 0 for one word other, 1 the shorter and 2 the longer of two lengths."""
+    """(at, kind, variant): kind 0 for one word other, 1 the shorter and 2 the longer of two lengths."""
 
-    def of_half(x: Column, at: Column) -> Column:
-        n = F.col("n") - F.when(at >= 2, F.lit(1)).otherwise(F.lit(0))
+    def of_half(x: Column, which: Column) -> Column:
+        n = F.col("n") - F.when(which >= 2, F.lit(1)).otherwise(F.lit(0))
         p = F.floor(n / 2).cast("int")
         words, m = F.col("words"), F.col("n")
-        rest = F.when(at % 2 == 0, F.slice(words, p + 1, m - p)).otherwise(F.slice(words, F.lit(1), m - (n - p)))
+        rest = F.when(which % 2 == 0, F.slice(words, p + 1, m - p)).otherwise(F.slice(words, F.lit(1), m - (n - p)))
 
         def emitted(r: Column) -> Column:
             def without(i: Column) -> Column:
@@ -84,13 +103,14 @@ def _variants(lines: DataFrame) -> DataFrame:
             same = F.transform(each, lambda i: F.struct(F.lit(0).alias("kind"), F.xxhash64(x, F.lit(0), i, without(i)).alias("variant")))
             longer = F.transform(each, lambda i: F.struct(F.lit(2).alias("kind"), F.xxhash64(x, F.lit(1), without(i)).alias("variant")))
             whole = F.array(F.struct(F.lit(1).alias("kind"), F.xxhash64(x, F.lit(1), r).alias("variant")))
-            return F.when(at >= 2, longer).otherwise(F.concat(same, whole))
+            return F.when(which >= 2, longer).otherwise(F.concat(same, whole))
 
         return let(rest, emitted)
 
-    shared = F.filter(F.transform(F.col("halves"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: F.array_contains(F.col("shared"), e["x"]))
+    halves = F.array(*[F.struct(F.col(k).alias("x"), F.lit(i).alias("i")) for i, k in enumerate(_HALVES)])
+    shared = F.filter(halves, lambda e: F.coalesce(F.array_contains(F.col("shared"), e["x"]), F.lit(False)))
     every = F.flatten(F.transform(shared, lambda e: of_half(e["x"], e["i"])))
-    return lines.select("h1", "h2", "first", F.explode(F.array_distinct(every)).alias("v")).select("h1", "h2", "first", "v.kind", "v.variant")
+    return lines.select("at", F.explode(every).alias("v")).select("at", "v.kind", "v.variant")
 
 
 def within_one_word(a: Column, b: Column) -> Column:
@@ -101,46 +121,42 @@ def within_one_word(a: Column, b: Column) -> Column:
     return F.when(at == 0, True).when(F.size(a) == F.size(b), rest(a, 1) == rest(b, 1)).when(F.size(a) == F.size(b) + 1, rest(a, 1) == rest(b, 0)).when(F.size(b) == F.size(a) + 1, rest(b, 1) == rest(a, 0)).otherwise(False)
 
 
-def _near(docs: DataFrame, features: DataFrame, text: str) -> DataFrame:
-    """(h1, h2) of the distinct lines that an earlier one is near."""
-    halves = features.where(F.size("halves") > 0).select("h1", F.explode("halves").alias("half"))
+def _near(docs: DataFrame, groups: DataFrame, text: str) -> DataFrame:
+    """(h1, h2) of the distinct lines that an earlier one is near. groups: the distinct lines."""
+    halves = groups.where(F.col("k0").isNotNull()).select("h1", "h2", F.explode(F.array(*_HALVES)).alias("half")).where(F.col("half").isNotNull())
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where(F.col("a") < F.col("b")).select("half")
-    some = written(halves.join(shared, "half").groupBy("h1").agg(F.collect_set("half").alias("shared")), "lines-shared")
-    may = _filter_bits(some)
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    lines = docs.select(F.explode(F.array_distinct(F.split(body, "\n", -1))).alias("line")).select(normal_line(F.col("line")).alias("line")).where(F.col("line") != "")
-    lines = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "line").where(may).dropDuplicates(["h1", "h2"])
-    firsts = features.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"))
-    lines = written(lines.join(some, "h1").join(firsts, ["h1", "h2"]).withColumn("words", F.split("line", " ")).drop("line"), "lines-candidates")
-    variants = _variants(lines)
-    side = F.when(F.col("kind") == 0, 0).otherwise(1)
-    groups = variants.groupBy(side.alias("side"), "variant").agg(
-        F.min(F.when(F.col("kind") == 0, F.struct("first", "h1", "h2"))).alias("same"),
-        F.min(F.when(F.col("kind") == 1, F.struct("first", "h1", "h2"))).alias("short"),
-        F.min(F.when(F.col("kind") == 2, F.struct("first", "h1", "h2"))).alias("long"),
-        F.count(F.lit(1)).alias("in_group"),
-    )
-    groups = groups.where(F.col("in_group") > 1).drop("in_group")
-    joined = variants.withColumn("side", side).join(groups, ["side", "variant"])
-    leader = F.when(F.col("kind") == 0, F.col("same")).when(F.col("kind") == 1, F.col("long")).otherwise(F.col("short"))
-    pairs = joined.select("h1", "h2", "first", leader.alias("leader")).where(F.col("leader.first") < F.col("first"))
-    pairs = pairs.select("h1", "h2", F.col("leader.h1").alias("l1"), F.col("leader.h2").alias("l2")).distinct()
-    words = lines.select("h1", "h2", "words")
-    seen = pairs.join(words, ["h1", "h2"]).join(words.select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("words").alias("other")), ["l1", "l2"])
+    some = halves.join(shared, "half").groupBy("h1", "h2").agg(F.collect_set("half").alias("shared"))
+    some = written(groups.join(some, ["h1", "h2"]).drop("copies"), "lines-shared")
+    # Their words, from one text that holds each.
+    holders = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("t1")).where(_filter_bits(some.select("t1"), "t1"))
+    found = _exploded(holders.dropDuplicates(["t1"]), "text").select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "line").dropDuplicates(["h1", "h2"])
+    lines = written(some.join(found, ["h1", "h2"]).withColumn("words", F.split("line", " ")).drop("line"), "lines-candidates")
+    variants = written(_variants(lines), "lines-variants")
+    side = F.when(F.col("kind") == 0, 0).otherwise(1).alias("side")
+    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("at"))).alias(f"first{kind}")
+    leaders = variants.groupBy(side, "variant").agg(least(0), least(1), least(2), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).drop("rows")
+    joined = variants.select("at", "kind", side, "variant").join(leaders, ["side", "variant"])
+    leader = F.when(F.col("kind") == 0, F.col("first0")).when(F.col("kind") == 1, F.col("first2")).otherwise(F.col("first1"))
+    pairs = joined.select("at", leader.alias("leader")).where(F.col("leader") < F.col("at")).distinct()
+    words = lines.select("at", "h1", "h2", "words")
+    seen = pairs.join(words, "at").join(words.select(F.col("at").alias("leader"), F.col("words").alias("other")), "leader")
     return seen.where(within_one_word(F.col("words"), F.col("other"))).select("h1", "h2").distinct()
 
 
 def find_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 5, min_edit_words: int = 8) -> DataFrame:
     """(doc, t1, t2, exact, near): for each document that loses lines, their positions by reason."""
     features = written(_features(docs, text, doc_id, min_words, min_edit_words), "lines-features")
-    near = written(_near(docs, features, text), "lines-near")
-    groups = features.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    known = groups.join(near.withColumn("is_near", F.lit(True)), ["h1", "h2"], "left").where((F.col("copies") > 1) | F.col("is_near"))
+    groups = features.groupBy("h1", "h2").agg(
+        F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.min("t1").alias("t1"), F.max("n").alias("n"), *[F.max(k).alias(k) for k in _HALVES]
+    )
+    groups = written(groups, "lines-groups")
+    near = written(_near(docs, groups, text), "lines-near").withColumn("is_near", F.lit(True))
+    known = groups.select("h1", "h2", F.col("at").alias("first"), "copies").join(near, ["h1", "h2"], "left").where((F.col("copies") > 1) | F.col("is_near"))
     # One line may make up a third of all: both sides are dealt by a salt as well.
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).drop("copies")
-    lines = features.select("doc", "t1", "t2", "pos", "h1", "h2", F.pmod(F.col("t2"), F.lit(_SALTS)).cast("int").alias("salt"))
+    lines = features.select("doc", "t1", "t2", "pos", "at", "h1", "h2", F.pmod(F.col("t2"), F.lit(_SALTS)).cast("int").alias("salt"))
     hit = lines.join(known, ["h1", "h2", "salt"])
-    later = ~F.struct("doc", "pos").eqNullSafe(F.col("first"))
+    later = F.col("at") != F.col("first")
     gone = hit.where(later | F.col("is_near"))
     return gone.groupBy("doc", "t1", "t2").agg(
         F.sort_array(F.collect_set(F.when(later, F.col("pos")))).alias("exact"),
@@ -150,14 +166,16 @@ def find_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def mark(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **limits) -> DataFrame:
     """Add ``exact_lines`` and ``near_lines``, the positions (from 0) of lines that go, to each document."""
-    kept = [c for c in docs.columns if c not in ("exact_lines", "near_lines")]
+    kept = others(docs.columns, ("exact_lines", "near_lines"))
+    p = free_prefix(docs.columns)
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     found = find_duplicates(docs, text, doc_id, **limits)
-    found = found.select(F.col("doc").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "exact", "near")
-    keyed = docs.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(_text_keys(F.col(f"`{text}`")))])
-    joined = keyed.join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col("_doc")) & (F.col("_k0") == F.col("_t1")) & (F.col("_k1") == F.col("_t2")), "left")
+    found = found.select(*[F.col(c).alias(p + c) for c in ("doc", "t1", "t2", "exact", "near")])
+    keyed = docs.select("*", *[k.alias(f"{p}k{i}") for i, k in enumerate(_text_keys(F.col(f"`{text}`")))])
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(p + "doc")) & (F.col(p + "k0") == F.col(p + "t1")) & (F.col(p + "k1") == F.col(p + "t2"))
+    joined = keyed.join(found, same, "left")
     none = F.array().cast("array<int>")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], F.coalesce("exact", none).alias("exact_lines"), F.coalesce("near", none).alias("near_lines"))
+    return joined.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(p + "exact", none).alias("exact_lines"), F.coalesce(p + "near", none).alias("near_lines"))
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **limits) -> DataFrame:
