@@ -12,6 +12,9 @@ from docpipe.llm import bpe, decontaminate, lines, minhash, quality
 from docpipe.llm.queries import table, vocabulary
 from docpipe.llm.storage import written
 
+#: Jaccard similarity from which documents are near duplicates here; op1's 85 is that of its SQL.
+NEAR_PERCENT = 80
+
 
 def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
@@ -26,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.dedup(docs)
+    return minhash.dedup(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: MinHash, seeds and BPE aren't SQL; tests/llm/test_pipeline.py has the plain version.
+#: MinHash, seeds and BPE are not SQL; tests/llm/test_pipeline.py has a plain version of near_dedup.
 ORACLE_SQL = None
 
 
