@@ -66,10 +66,10 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(labels, lambda x: F.concat(F.lit("h:"), x)), F.transform(parts, lambda x: F.concat(F.lit("p:"), fold(x))), F.transform(keys, lambda x: F.concat(F.lit("q:"), x))))
 
 
-def mine(labelled: DataFrame, min_count: int = 20, min_confidence: float = 0.8, min_lift: float = 2.0, max_rows: int = 1_000_000, max_tokens: int = 12) -> DataFrame:
+def mine(labelled: DataFrame, min_count: int = 20, min_confidence: float = 0.8, min_lift: float = 2.0, max_tokens: int = 12) -> DataFrame:
     """Block rules (rule_no, tokens, confidence, hits) from (tokens, bad).
 
-    At most about ``max_rows`` rows, chosen by hash, and the first ``max_tokens`` tokens of each are used for mining.
+    All rows, and the first ``max_tokens`` tokens of each, are used for mining.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -77,9 +77,6 @@ def mine(labelled: DataFrame, min_count: int = 20, min_confidence: float = 0.8,
     none = spark.createDataFrame([], "rule_no long, tokens array<string>, confidence double, hits double")
     rows = labelled.select(F.slice("tokens", 1, max_tokens).alias("tokens"), "bad").where(F.size("tokens") > 0)
     n = rows.count()
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("tokens", "bad"), F.lit(1_000_000)) < int(1e6 * max_rows / n))
-        n = rows.count()
     if not n or not rows.where("bad").limit(1).count():
         return none
     baskets = rows.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
