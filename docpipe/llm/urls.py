@@ -1,8 +1,8 @@
-"""URL filters: fixed host and path rules, and rules mined from labels by FP-growth.
+"""URL filters: fixed host and path rules, and rules mined from labels by pattern growth.
 
-A url is a set of tokens: host labels, the host's endings, path parts and query keys, with numbers folded. FP-growth over
-labelled urls finds token combinations; those that imply the bad label with enough confidence and support become block rules,
-longer ones that a shorter one covers are dropped. Each mined rule is posted under its rarest token, so a url meets only rules
+A url is a set of tokens: host labels, the host's endings, path parts and query keys, with numbers folded. Pattern
+growth over labelled urls (that of FP-growth, level by level in DataFrame operations) finds token combinations; those that imply
+the bad label with enough confidence and support become block rules, longer ones that a shorter one covers are dropped. Each mined rule is posted under its rarest token, so a url meets only rules
 of its own tokens; the rest of the rule is then compared.
 
 Defined results: host and path of a null url, or of one without ``://``, are empty and it is allowed; a url that no rule
@@ -12,14 +12,14 @@ fits is allowed; repeated rows and null ids are kept; without labelled urls noth
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docpipe.llm.names import free_prefix, others
-from docpipe.llm.storage import shared_dir
+from docpipe.llm.storage import shared_dir, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BAD = "label:bad"
 
 
 @dataclass(frozen=True)
@@ -66,27 +66,51 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(labels, lambda x: F.concat(F.lit("h:"), x)), F.transform(parts, lambda x: F.concat(F.lit("p:"), fold(x))), F.transform(keys, lambda x: F.concat(F.lit("q:"), x))))
 
 
-def mine(labelled: DataFrame, min_count: int = 20, min_confidence: float = 0.8, min_lift: float = 2.0, max_tokens: int = 12) -> DataFrame:
-    """Block rules (rule_no, tokens, confidence, hits) from (tokens, bad).
+def mine(labelled: DataFrame, min_count: int = 20, min_confidence: float = 0.8, min_lift: float = 2.0) -> DataFrame:
+    """Block rules (rule_no, tokens, confidence, hits) from (tokens, bad): all rows, all tokens, combinations of any length.
 
-    All rows, and the first ``max_tokens`` tokens of each, are used for mining.
+    Equal rows are counted first. A combination is the tokens in order of their number of urls, rarest first, and grows by
+    commoner ones within the rows that hold it, as FP-growth does in its conditional bases. Three kinds are left out, none of
+    which can be part of a needed rule: those of fewer than ``min_count`` bad rows, those with a shorter rule in them, and those
+    that hold in the same rows as one of their parts, which would be the shorter rule.
     """
-    from pyspark.ml.fpm import FPGrowth
-
     spark = labelled.sparkSession
     none = spark.createDataFrame([], "rule_no long, tokens array<string>, confidence double, hits double")
-    rows = labelled.select(F.slice("tokens", 1, max_tokens).alias("tokens"), "bad").where(F.size("tokens") > 0)
-    n = rows.count()
-    if not n or not rows.where("bad").limit(1).count():
+    rows = labelled.where(F.size("tokens") > 0)
+    sums = [F.sum("n").alias("n"), F.sum("b").alias("b")]
+    rows = written(rows.groupBy(F.array_sort(F.array_distinct("tokens")).alias("tokens")).agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("b")), "urls-sets")
+    n, b = rows.agg(*sums).first()
+    if not b:
         return none
-    baskets = rows.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_count / n), minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.get("consequent", F.lit(0)) == BAD) & (F.col("lift") >= min_lift))
-    found = found.select(F.sort_array("antecedent").alias("tokens"), "confidence", (F.col("support") * n).alias("hits"))
-    # A rule is needless if a shorter one, of which FP-growth gives all, is part of it: look its parts up.
-    parts = found.select("tokens", F.explode(F.filter(F.transform("tokens", lambda x: F.array_remove("tokens", x)), lambda x: F.size(x) > 0)).alias("part"))
-    covered = parts.join(found.select(F.col("tokens").alias("part")), "part").select("tokens").distinct()
-    kept = found.join(covered, "tokens", "left_anti")
+    confidence = F.col("b") / F.col("n")
+    rule = (confidence >= min_confidence) & (confidence / F.lit(b / n) >= min_lift)
+
+    def counted(held: DataFrame) -> DataFrame:
+        return held.groupBy("combo").agg(*sums)
+
+    singles = rows.select("n", "b", F.explode("tokens").alias("token")).groupBy("token").agg(*sums).where(F.col("b") >= min_count)
+    singles = written(singles.select(F.array(F.struct("n", "token")).alias("combo"), "token", "n", "b", rule.alias("rule")), "urls-tokens")
+    found = [singles.where("rule").select("combo", "n", "b")]
+    frontier = singles.where(~F.col("rule")).select("combo", "n", "b")
+    # The other tokens of each row; rows of which equal ones are left are counted together.
+    left = rows.select("tokens", F.col("n").alias("rows"), F.col("b").alias("bad"), F.explode("tokens").alias("token"))
+    left = left.join(singles.where(~F.col("rule")).select("token", F.get("combo", F.lit(0)).alias("item")), "token")
+    left = left.groupBy("tokens").agg(F.first("rows").alias("n"), F.first("bad").alias("b"), F.array_sort(F.collect_list("item")).alias("items"))
+    left = written(left.groupBy("items").agg(*sums), "urls-left")
+    held = left.select("items", "n", "b", F.explode(F.transform("items", lambda x: F.array(x))).alias("combo"))
+    while frontier.limit(1).count():
+        grown = held.withColumn("more", F.explode(F.filter("items", lambda x: x > F.element_at("combo", -1))))
+        grown = grown.select("items", "n", "b", F.concat("combo", F.array("more")).alias("combo"))
+        often = counted(grown.where("b > 0")).where(F.col("b") >= min_count).select("combo")
+        # Every part with one token less has to be in the frontier, and in more rows.
+        parts = often.select("combo", F.explode(F.transform("combo", lambda x: F.array_remove("combo", x))).alias("part"))
+        parts = parts.join(frontier.select(F.col("combo").alias("part"), F.col("n").alias("of_part")), "part").groupBy("combo").agg(F.count(F.lit(1)).alias("parts"), F.min("of_part").alias("least"))
+        parts = parts.where(F.col("parts") == F.size("combo")).drop("parts")
+        level = written(counted(grown.join(parts.select("combo"), "combo", "left_semi")).join(parts, "combo").where(F.col("n") < F.col("least")).drop("least").withColumn("rule", rule), "urls-level")
+        found.append(level.where("rule").select("combo", "n", "b"))
+        frontier = level.where(~F.col("rule")).drop("rule")
+        held = written(grown.join(frontier.select("combo"), "combo", "left_semi").select("items", "n", "b", "combo"), "urls-held")
+    kept = reduce(DataFrame.unionAll, found).select(F.sort_array(F.col("combo.token")).alias("tokens"), confidence.alias("confidence"), F.col("b").cast("double").alias("hits"))
     return kept.select(F.xxhash64("tokens").alias("rule_no"), "tokens", "confidence", "hits")
 
 

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 from pyspark.sql import functions as F
 
 from docpipe.llm import urls
@@ -15,3 +18,37 @@ def test_mining_uses_every_row(spark):
     labelled = spark.range(n).select(F.array(host, F.lit("p:x")).alias("tokens"), bad.alias("bad"))
     got = {tuple(r.tokens): (r.confidence, round(r.hits)) for r in urls.mine(labelled).collect()}
     assert got == {(f"h:bad{i}",): (1.0, 500) for i in range(40)}
+
+
+def minimal_rules(rows, min_count, min_confidence, min_lift):
+    """rows: (tokens, bad). {tokens: (confidence, hits)} of the rules that no shorter one is part of."""
+    share = sum(b for _, b in rows) / len(rows)
+    out = {}
+    every = sorted({x for t, _ in rows for x in t})
+    for size in range(1, len(every) + 1):
+        for combo in itertools.combinations(every, size):
+            held = [b for t, b in rows if set(combo) <= set(t)]
+            if sum(held) >= min_count and sum(held) / len(held) >= min_confidence and sum(held) / len(held) / share >= min_lift and not any(set(x) <= set(combo) for x in out):
+                out[combo] = (sum(held) / len(held), sum(held))
+    return out
+
+
+def test_mined_rules_match_brute_force(spark):
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        rows = []
+        for _ in range(400):
+            tokens = [x for x in "abcdefgh" if rng.random() < 0.5] + ["all"]
+            rows.append((tokens, rng.random() < (0.9 if {"a", "b", "c"} <= set(tokens) or {"d", "f"} <= set(tokens) and "a" not in tokens else 0.1)))
+        want = minimal_rules(rows, 8, 0.8, 1.5)
+        got = {tuple(r.tokens): (round(r.confidence, 9), round(r.hits)) for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 8, 0.8, 1.5).collect()}
+        assert got == {k: (round(c, 9), n) for k, (c, n) in want.items()}
+        assert max(map(len, want)) > 2 and len(want) > 1
+
+
+def test_mining_reaches_the_end_of_long_urls(spark):
+    # 30 tokens that all urls share, and two after them that are bad together only.
+    shared = [f"p:{i:02}" for i in range(30)]
+    rows = [([*shared, *end], len(end) == 2) for end in (["q:x", "q:y"], ["q:x"], ["q:y"], []) for _ in range(25)]
+    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    assert [(r.tokens, r.confidence, r.hits) for r in got] == [(["q:x", "q:y"], 1.0, 25.0)]
