@@ -14,6 +14,8 @@ from docpipe.llm.storage import written
 
 #: Jaccard similarity from which documents are near duplicates here; op1's 85 is that of its SQL.
 NEAR_PERCENT = 80
+#: Equal lines of every length go, and edits start at 5 words; op3's 5 and 8 are those of its SQL.
+LINE_LIMITS = {"min_words": 1, "min_edit_words": 5}
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(lines.dedup(docs).where(F.col("text") != ""))
+    return _measured(lines.dedup(docs, **LINE_LIMITS).where(F.col("text") != ""))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
+import random
+
 import corpus_pipeline
 from tests.llm import brute
 from tests.llm.test_pairs_urls_leaks import SCHEMA, near_corpus
+from tests.llm.test_quality_lines_shards import SCHEMA as LINE_SCHEMA, corpus
 
 
 def test_near_dedup_takes_out_pairs_from_80_percent(spark):
@@ -11,3 +14,19 @@ def test_near_dedup_takes_out_pairs_from_80_percent(spark):
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert got == at[80]
     assert len(at[85] - at[80]) > 1
+
+
+def test_line_dedup_takes_out_short_lines(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(12)]
+    short = [(200 + i, "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 7))) for _ in range(6)), None, None, None, None) for i in range(30)]
+    rows = corpus(7, 60) + short + [(300, "漢字の長い段落です。\nsee all\none two three four five\nfirst line", None, None, None, None), (301, "See  all\n漢字の長い段落です。\none two 3 four five\nlast line", None, None, None, None)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, LINE_SCHEMA), "").collect()}
+    gone = brute.line_dups([r[:2] for r in rows], 1, 5)
+    want = {}
+    for d, t, *_ in rows:
+        out = {i for x in gone.get(d, ()) for i in x}
+        want[d] = "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in out)
+    assert got == {d: t for d, t in want.items() if t}
+    assert got[301] == "last line"
+    assert gone != brute.line_dups([r[:2] for r in rows])
