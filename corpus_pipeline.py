@@ -14,6 +14,8 @@ from docpipe.llm.storage import written
 
 #: Jaccard similarity from which documents are near duplicates here; op1's 85 is that of its SQL.
 NEAR_PERCENT = 80
+#: A line that more distinct texts of a source hold is boilerplate, however large the source; op8's SQL has only the share of 5 %.
+LINE_MAX_DOCS = 100
 #: Equal lines of every length go, and edits start at 5 words; op3's 5 and 8 are those of its SQL.
 LINE_LIMITS = {"min_words": 1, "min_edit_words": 5}
 
@@ -23,7 +25,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(quality.cleaned(docs))
+    return _measured(quality.cleaned(docs, line_max_docs=LINE_MAX_DOCS))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,11 +76,12 @@ def judge(
     line_min_docs: int = 20,
     line_max_share: float = 0.05,
     min_left_percent: int = 30,
+    line_max_docs: int | None = None,
 ) -> DataFrame:
     """Add figures and verdict to each document.
 
     A line is removed if more than ``line_min_docs`` and more than the share ``line_max_share`` of the host's distinct
-    documents hold it; a document is depleted if fewer than ``min_left_percent`` per cent of its words are left.
+    documents hold it, or more than ``line_max_docs`` where that is fewer than the share; a document is depleted if fewer than ``min_left_percent`` per cent of its words are left.
     ``removed_lines`` lists the positions of removed lines, from 0.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in others(docs.columns, OUTPUTS)])
@@ -96,7 +97,9 @@ def judge(
     lines = lines.groupBy(*texts, f"{p}pos").agg(F.first(f"{p}hash").alias(f"{p}hash"), F.first(f"{p}words").alias(f"{p}words"))
     held = lines.groupBy(f"{p}host", f"{p}hash").agg(F.countDistinct(f"{p}t1", f"{p}t2").alias(f"{p}docs")).where(F.col(f"{p}docs") > line_min_docs)
     hosts = docs.select(*keys).groupBy(f"{p}host").agg(F.countDistinct(f"{p}t1", f"{p}t2").alias(f"{p}all"))
-    frequent = held.join(hosts, f"{p}host").where(F.col(f"{p}docs") > F.col(f"{p}all") * F.lit(line_max_share)).select(f"{p}host", f"{p}hash")
+    share = F.col(f"{p}all") * F.lit(line_max_share)
+    limit = share if line_max_docs is None else F.least(share, F.lit(float(line_max_docs)))
+    frequent = held.join(hosts, f"{p}host").where(F.col(f"{p}docs") > limit).select(f"{p}host", f"{p}hash")
     # A line that a third of all documents hold would be one key: both sides are dealt by a salt as well.
     frequent = frequent.withColumn(f"{p}salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     salted = lines.withColumn(f"{p}salt", F.pmod(F.col(f"{p}t2"), F.lit(_SALTS)).cast("int"))

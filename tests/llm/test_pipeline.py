@@ -30,3 +30,11 @@ def test_line_dedup_takes_out_short_lines(spark):
     assert got == {d: t for d, t in want.items() if t}
     assert got[301] == "last line"
     assert gone != brute.line_dups([r[:2] for r in rows])
+
+
+def test_quality_rules_take_out_boilerplate_of_a_hot_source(spark):
+    # 3,000 texts of one source: 101 hold one line and 100 another, both fewer than 5 %.
+    body = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{body} {i}" + ("\nsubscribe now" if i < 101 else "") + ("\nread more" if i >= 2900 else ""), "hot", None, None, None) for i in range(3000)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, LINE_SCHEMA), "").collect()}
+    assert got == {r[0]: r[1].replace("\nsubscribe now", "") for r in rows}
