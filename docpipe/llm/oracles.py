@@ -7,7 +7,8 @@ g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FR
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
 p AS (SELECT doc_id, count(DISTINCT i + k) AS repeated FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 l AS (SELECT doc_id, h, t, trim(regexp_replace(lower(x), '[\x09\x0B\x0C\x0D\x20]+', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, h, t, unnest(string_split(t, chr(10))) AS x FROM d)),
-f AS (SELECT h, line FROM (SELECT h, line, count(DISTINCT t) AS n FROM l WHERE line <> '' GROUP BY h, line) JOIN (SELECT h, count(DISTINCT t) AS texts FROM d GROUP BY h) USING (h) WHERE n > 20 AND n > texts * 0.05),
+f AS (SELECT h, line FROM (SELECT h, line, count(DISTINCT doc_id) AS n, count(DISTINCT t) AS texts FROM l WHERE line <> '' GROUP BY h, line)
+  JOIN (SELECT h, count(DISTINCT doc_id) AS docs FROM d GROUP BY h) USING (h) WHERE (n > 20 AND n > docs * 0.05) OR texts > 100),
 m AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS gone FROM l JOIN f USING (h, line) GROUP BY doc_id),
 b AS (SELECT doc_id, len(ws) AS n, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS symbols,
   len(ls) - len(list_distinct(ls)) AS dup, coalesce(repeated, 0) AS repeated, coalesce(gone, 0) AS gone FROM w LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id))

@@ -26,19 +26,25 @@ def normal(line):
     return re.sub(r"[ \t-\r]+", " ", line.lower()).strip(" ")
 
 
-def judged(rows, line_min_docs=20, share=0.05, left=30):
+def judged(rows, line_min_docs=20, share=0.05, left=30, line_max_texts=100):
     """rows: (id, text, host). Verdicts in order."""
-    texts, held = defaultdict(set), defaultdict(set)
-    for _, t, h in rows:
+    docs, held, texts = defaultdict(set), defaultdict(set), defaultdict(set)
+    for d, t, h in rows:
         t = t or ""
-        texts[h].add(t)
+        who = t if d is None else d
+        docs[h].add(who)
         for x in t.split("\n"):
-            if normal(x):
-                held[h, normal(x)].add(t)
+            held[h, normal(x)].add(who)
+            texts[h, normal(x)].add(t)
+
+    def goes(h, x):
+        n = len(held[h, x])
+        return x and (n > line_min_docs and n > share * len(docs[h]) or len(texts[h, x]) > line_max_texts)
+
     out = []
     for _, t, h in rows:
         m = base(t)
-        bad = [(i, len(normal(x).split(" "))) for i, x in enumerate((t or "").split("\n")) if normal(x) and len(held[h, normal(x)]) > line_min_docs and len(held[h, normal(x)]) > share * len(texts[h])]
+        bad = [(i, len(normal(x).split(" "))) for i, x in enumerate((t or "").split("\n")) if goes(h, normal(x))]
         gone = sum(n for _, n in bad)
         out.append((*m, [i for i, _ in bad], not m[-1] and not (m[0] - gone) * 100 < m[0] * left))
     return out

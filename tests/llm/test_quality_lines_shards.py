@@ -41,13 +41,20 @@ def corpus(seed, n=160):
 
 def test_quality_matches_brute_force(spark):
     rows = corpus(1) + [(7, "A b c. " * 40, "a", None, None, None), (None, "é# $x\n" * 3, None, None, None, None)]
-    got = quality.judge(spark.createDataFrame(rows, SCHEMA), line_min_docs=3, line_max_share=0.1)
-    assert got.columns.count("kept") == 1 and "extra" in got.columns
-    want = Counter((r[0], r[1], *w[:6], tuple(w[6]), w[7]) for r, w in zip(rows, brute.judged([r[:3] for r in rows], 3, 0.1), strict=True))
+    rows += [(400 + i, "the same footer\n" + "w " * 60, "mirror", None, None, None) for i in range(6)]  # copies count
+    rows += [(500, "one page\n" + "w " * 60, "again", None, None, None)] * 6  # rows of one document don't
+    rows += [(600 + i, f"{i} long\n" + "menu\n" * (i < 9), "big", None, None, None) for i in range(200)]  # the share lets it stay, the number doesn't
+    rows += [(900, "x " * 200_000 + "\n" + "menu\n" * 50_000, "big", None, None, None)]
     cols = ["doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_lines", "kept"]
-    have = Counter(tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in got.select(cols).collect())
-    assert have == want
-    assert any(r[8] for r in have)
+    for most, few in ((None, 4000), (8, 4000), (8, 0)):
+        got = quality.judge(spark.createDataFrame(rows, SCHEMA), line_min_docs=3, line_max_share=0.1, line_max_texts=most, few=few)
+        assert got.columns.count("kept") == 1 and "extra" in got.columns
+        found = brute.judged([r[:3] for r in rows], 3, 0.1, line_max_texts=most or 10**9)
+        want = Counter((r[0], r[1], *w[:6], tuple(w[6]), w[7]) for r, w in zip(rows, found, strict=True))
+        have = Counter(tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in got.select(cols).collect())
+        assert have == want
+        lost = {r[0]: r[8] for r in have}
+        assert lost[400] and not lost[500] and bool(lost[600]) == (most == 8)
 
 
 def test_quality_empty_table_and_cleaned(spark):
