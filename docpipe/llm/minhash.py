@@ -6,16 +6,23 @@ smallest result over the set. Signatures are cut into bands, and sets that agree
 
 Every bucket's sets are compared in full. Equal sets are one node from the start. Buckets with the same members are kept once.
 A bucket goes to one task with its sets; a set of which too few shingles occur in any other set of the bucket can't be linked
-and is put aside, the others are compared through an inverted index, only as far as they aren't yet connected. Buckets of more
-than ``block`` sets are cut into blocks, and each pair of blocks is one task, so nothing is capped and no task is unbounded.
-Links become components by star contraction.
+and is put aside, the others are compared through an inverted index, only as far as they aren't yet connected. Links become
+components by star contraction.
+
+Buckets of more than ``block`` sets, or of more than ``block_bytes`` of shingles, are cut into blocks. A few sets of the bucket
+(about ``hubs``, chosen by hash) go to all blocks, each other set to its own, so sets that are like the hubs, as the variants
+of one page are, come together in work that grows with the bucket. Only sets that aren't with most of their bucket after that
+are compared with every other block. That finds the same components as all pairs of blocks would; nothing is capped.
 
 With 22 bands of 4, a pair at the threshold of 0.85 misses all buckets once in about 10 million times, one at 0.80 once in
 about 100,000; nothing is ever linked without the exact comparison.
 
 Defined results: null texts, empty texts and texts without words have an empty set and are linked with nothing; fewer than
-five words are one shingle; rows with a null id are linked with nothing and stay; rows of one id are one node, linked by
-any of their sets; :func:`dedup` keeps extra columns.
+five words are one shingle; a very long text is one set of 8 bytes a shingle in one task; rows with a null id are linked with
+nothing and stay; rows of one id are one document, linked by any of their texts, so :func:`mark` gives them one component;
+:func:`dedup` goes by texts and keeps of each group of like texts the rows of the smallest id and set, so a text goes only if
+one like it, directly or over others, stays; rows that repeat id and text stay or go together; an empty table gives no rows;
+:func:`dedup` keeps extra columns. Ids are numbers, or texts of whole numbers.
 """
 
 from __future__ import annotations
@@ -25,14 +32,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docpipe.llm.bpe import pieces
 from docpipe.llm.graph import components
 from docpipe.llm.names import free_prefix
 from docpipe.llm.storage import shared_dir, ship, written
 
-BANDS, ROWS, BLOCK = 22, 4, 2000
+BANDS, ROWS, BLOCK, BLOCK_BYTES, HUBS = 22, 4, 500, 16_000_000, 8
 _WORDS_IN_SHINGLE = 5
 _P = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint32(0x9E3779B1)
@@ -153,9 +160,16 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         compare(int(todo[0]))
 
 
+def text_keys(text: Column) -> list[Column]:
+    """128 bits that stand for a text; null is the empty text."""
+    body = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2")]
+
+
 def _signed(docs: DataFrame, text: str, bands: int, rows: int) -> DataFrame:
-    """Adds n_shingles, the set's key (s1, s2) and its bands to (id, text)."""
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+    """(doc_id, t1, t2) with n_shingles, the set's key (s1, s2) and its bands; t1 and t2 are hashes of the text."""
+    docs = docs.select("doc_id", text, *text_keys(F.col(text)))
+    schema = "doc_id long, t1 long, t2 long, n_shingles long, s1 long, s2 long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,36 +182,29 @@ def _signed(docs: DataFrame, text: str, bands: int, rows: int) -> DataFrame:
                         known[t] = (len(x), *set_key(x), band_keys(signature(x, bands * rows), bands, rows)) if len(x) else (0, None, None, None)
                     for into, v in zip((n, s1, s2, keys), known[t], strict=True):
                         into.append(v)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "s1", "s2", "bands"])
+                own = [part.column(c) for c in ("doc_id", "t1", "t2")]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(x, pa.int64()) for x in (n, s1, s2)], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "t1", "t2", "n_shingles", "s1", "s2", "bands"])
 
     return docs.mapInArrow(run, schema)
 
 
-def find_components(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """docs: doc_id, text. Returns (doc_id, n_shingles, s1, s2) by row and (s1, s2, component_id) by distinct set."""
-    spark = docs.sparkSession
-    ship(spark)
-    shared_dir(spark)
-    signed = written(_signed(docs, "text", bands, rows), "minhash-signatures")
-    nodes = signed.where(F.col("s1").isNotNull() & F.col("doc_id").isNotNull())
-    sets = written(nodes.groupBy("s1", "s2").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "minhash-sets")
-    # Buckets of two or more sets; those with the same members are one.
-    member = F.xxhash64("s1", "s2")
-    keyed = sets.select("first_id", "s1", "s2", F.explode("bands").alias("bucket"))
-    buckets = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(member).alias("low"), F.bit_xor(member).alias("mark"), F.bit_xor(F.xxhash64(F.lit(1), "s1", "s2")).alias("mark2"))
-    buckets = buckets.where(F.col("size") > 1).groupBy("size", "low", "mark", "mark2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    met = keyed.join(buckets, "bucket")
-    # Blocks of a large bucket: each pair of blocks, and each block alone, is a task.
-    n = F.ceil(F.col("size") / block).cast("int")
-    own = F.when(n > 1, F.pmod(member, n).cast("int")).otherwise(F.lit(0))
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.col("bucket").alias("bucket"), F.least(F.col("own"), k).alias("x"), F.greatest(F.col("own"), k).alias("y")))
-    tasks = met.withColumn("own", own).groupBy("first_id", "s1", "s2").agg(F.flatten(F.collect_list(pairs)).alias("tasks"))
+def _ordered_text(number: Column) -> Column:
+    """16 hexadecimal digits that order like the number."""
+    return F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
+def _number_of(ordered: Column) -> Column:
+    return (F.conv(ordered, 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
+
+def _compared(tasks: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, a_set, b, b_set) of the sets that meet in a task. tasks: (first_id, s1, s2, tasks), docs: (doc_id, text)."""
     dealt = tasks.join(docs, F.col("first_id") == F.col("doc_id")).select("first_id", "s1", "s2", "tasks", "text")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 1_000_000):
-                out: dict[str, list] = {c: [] for c in ("bucket", "x", "y", "first_id", "shingles")}
+                out: dict[str, list] = {c: [] for c in ("bucket", "x", "y", "first_id", "s1", "shingles")}
                 for d, s1, s2, where, t in zip(*(part.column(c).to_pylist() for c in ("first_id", "s1", "s2", "tasks", "text")), strict=True):
                     x = shingle_set(t)
                     if not len(x) or set_key(x) != (s1, s2):
@@ -207,40 +214,114 @@ def find_components(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
                         for c in ("bucket", "x", "y"):
                             out[c].append(w[c])
                         out["first_id"].append(d)
+                        out["s1"].append(s1)
                         out["shingles"].append(data)
-                yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), *[pa.array(out[c], pa.int32()) for c in ("x", "y")], pa.array(out["first_id"], pa.int64()), pa.array(out["shingles"], pa.binary())], names=list(out))
+                        if len(out["s1"]) * len(data) > 8_000_000:
+                            yield sent(out)
+                yield sent(out)
+
+    def sent(out: dict[str, list]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], names=list(out))
+        for x in out.values():
+            x.clear()
+        return batch
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links: list[tuple[int, int]] = []
+        links: list[tuple[int, int, int, int]] = []
         key, sets = None, {}
 
         def close() -> None:
-            ids, found = list(sets.values()), linked([np.frombuffer(x, np.uint64) for _, x in sets], percent)
-            links.extend((ids[i], ids[j]) for i, j in found)
+            nodes, found = list(sets), linked([np.frombuffer(x, np.uint64) for x in sets.values()], percent)
+            links.extend((*nodes[i], *nodes[j]) for i, j in found)
 
-        def sent() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def links_so_far() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(4)], names=["a", "a_set", "b", "b_set"])
             links.clear()
             return out
 
         for batch in batches:
-            for now, d, x in zip(zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y")), strict=True), batch.column("first_id").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "first_id", "s1")]
+            for k, (*now, d, s1) in enumerate(zip(*columns, strict=True)):
                 if now != key:
                     if len(sets) > 1:
                         close()
                     key, sets = now, {}
-                sets[d, x] = d
+                sets[d, s1] = batch.column("shingles")[k].as_py()
             if len(links) > 10_000:
-                yield sent()
+                yield links_so_far()
         if len(sets) > 1:
             close()
-        yield sent()
+        yield links_so_far()
+
+    expanded = dealt.mapInArrow(expand, "bucket long, x int, y int, first_id long, s1 long, shingles binary")
+    return expanded.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(compare, "a long, a_set long, b long, b_set long")
+
+
+def find_components(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, hubs: int = HUBS, by_id: bool = True) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, text. Returns (doc_id, t1, t2, n_shingles, s1, s2) by row and (s1, s2, component_id, component_set) by distinct set.
 
-    expanded = dealt.mapInArrow(expand, "bucket long, x int, y int, first_id long, shingles binary")
-    links = expanded.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(compare, "a long, b long")
+    ``by_id``: sets of one id are one node. ``component_set`` is the s1 of the component's first set of the id ``component_id``.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    shared_dir(spark)
+    signed = written(_signed(docs, "text", bands, rows), "minhash-signatures")
+    nodes = signed.where(F.col("s1").isNotNull() & F.col("doc_id").isNotNull())
+    sets = written(nodes.groupBy("s1", "s2").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "minhash-sets")
+    # Ids with rows of different sets. Where there are none, a set's smallest id stands for it alone.
+    mixed = nodes.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("s1", "s2")])
+    mixed = written(mixed.where((F.col("min_s1") < F.col("max_s1")) | (F.col("min_s2") < F.col("max_s2"))).select("doc_id"), "minhash-mixed")
+    plain = mixed.isEmpty()
+
+    def node(first: str, which: str) -> Column:
+        return F.col(first) if plain else F.concat(_ordered_text(F.col(first)), _ordered_text(F.col(which)))
+
+    # Buckets of two or more sets; those with the same members are one.
+    member = F.xxhash64("s1", "s2")
+    keyed = sets.select("first_id", "s1", "s2", "n_shingles", F.explode("bands").alias("bucket"))
+    marks = [F.min(member).alias("low"), F.bit_xor(member).alias("mark"), F.bit_xor(F.xxhash64(F.lit(1), "s1", "s2")).alias("mark2")]
+    buckets = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), (F.sum("n_shingles") * 8).alias("bytes"), *marks)
+    buckets = buckets.where(F.col("size") > 1).groupBy("size", "bytes", "low", "mark", "mark2").agg(F.min("bucket").alias("bucket"))
+    n = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("bytes") / block_bytes), F.lit(1)).cast("int")
+    buckets = written(buckets.select("bucket", "size", F.least(n, F.col("size").cast("int")).alias("n")), "minhash-buckets")
+    met = keyed.join(buckets, "bucket").withColumn("own", F.pmod(member, F.col("n")).cast("int"))
+    is_hub = (F.col("n") > 1) & (F.pmod(F.xxhash64(F.lit(2), "s1", "s2"), F.ceil(F.col("size") / hubs)) == 0)
+    task = lambda x, y: F.struct(F.col("bucket").alias("bucket"), x.alias("x"), y.alias("y"))
+    first = F.when(is_hub, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: task(k, k))).otherwise(F.array(task(F.col("own"), F.col("own"))))
+
+    def tasks(of: DataFrame, each: Column) -> DataFrame:
+        return of.groupBy("first_id", "s1", "s2").agg(F.flatten(F.collect_list(each)).alias("tasks"))
+
+    def as_nodes(links: DataFrame) -> DataFrame:
+        return links.select(node("a", "a_set").alias("a"), node("b", "b_set").alias("b"))
+
+    links = as_nodes(_compared(tasks(met, first), docs, percent))
+    if not buckets.where("n > 1").isEmpty():
+        links = written(links, "minhash-links")
+        # Sets of cut buckets that aren't with most of their bucket yet meet all blocks of it.
+        known = components(links)
+        of = node("first_id", "s1")
+        cut = met.where("n > 1").select("first_id", "s1", "s2", "bucket", "n", "own", of.alias("of"))
+        cut = cut.join(known, F.col("of") == F.col("node"), "left").withColumn("group", F.coalesce("component", "of")).drop("of", "node", "component")
+        cut = written(cut, "minhash-cut")
+        groups = cut.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("k"))
+        main = groups.groupBy("bucket").agg(F.max_by("group", "k").alias("main"), (F.sum("k") - F.max("k")).alias("rest"))
+        main = written(main.where(F.col("rest") > 0), "minhash-rest")
+        parts = F.ceil(F.col("rest") / block).cast("int")
+        cut = cut.join(main, "bucket").withColumn("parts", parts)
+        to_all = lambda count, make: F.transform(F.sequence(F.lit(0), count - 1), make)
+        mine = F.when(F.col("group") != F.col("main"), to_all(F.col("n"), lambda k: task(F.pmod(F.xxhash64(F.lit(3), "s1", "s2"), F.col("parts")).cast("int"), k)))
+        others_ = to_all(F.col("parts"), lambda k: task(k, F.col("own")))
+        links = links.unionAll(as_nodes(_compared(tasks(cut, F.array_distinct(F.concat(F.coalesce(mine, F.array().cast("array<struct<bucket:bigint,x:int,y:int>>")), others_))), docs, percent)))
+    if by_id and not plain:
+        held = nodes.join(mixed, "doc_id", "left_semi").select("doc_id", "s1", "s2").distinct().join(sets, ["s1", "s2"]).select("doc_id", node("first_id", "s1").alias("b"))
+        held = written(held, "minhash-held")
+        links = links.unionAll(held.join(held.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").select("a", "b"))
     joined = components(links)
-    found = sets.select("s1", "s2", "first_id").join(joined, F.col("first_id") == F.col("node"), "left")
-    return signed.drop("bands"), found.select("s1", "s2", F.coalesce("component", "first_id").alias("component_id"))
+    found = sets.select("s1", "s2", node("first_id", "s1").alias("of")).join(joined, F.col("of") == F.col("node"), "left").withColumn("root", F.coalesce("component", "of"))
+    root = (F.col("root"), F.lit(None).cast("long")) if plain else (_number_of(F.substring("root", 1, 16)), _number_of(F.substring("root", 17, 16)))
+    return signed.drop("bands"), found.select("s1", "s2", root[0].alias("component_id"), root[1].alias("component_set"))
 
 
 def mark(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
@@ -248,12 +329,16 @@ def mark(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) ->
     plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed, found = find_components(plain, **how)
     joined = signed.join(found, ["s1", "s2"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "s1", "s2")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "s1", "s2", "t1", "t2", "component_set")
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The documents without those of which a near duplicate with a smaller id stays."""
+    """The documents without those of which a near duplicate with a smaller id, or of the same id with a smaller set, stays."""
     p = free_prefix(docs.columns)
-    gone = mark(docs, text, doc_id, **how).where(~F.col("kept")).select(F.col("doc_id").alias(f"{p}gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col(f"{p}gone"), "left_anti")
+    marked = mark(docs, text, doc_id, by_id=False, **how)
+    first = F.col("kept") & F.coalesce(F.col("component_set") == F.col("s1"), F.lit(True))
+    gone = marked.where(~first).select(*[F.col(c).alias(p + c) for c in ("doc_id", "t1", "t2")]).distinct()
+    t1, t2 = text_keys(F.col(f"`{text}`"))
+    same = (F.col(f"`{doc_id}`").cast("long") == F.col(f"{p}doc_id")) & (t1 == F.col(f"{p}t1")) & (t2 == F.col(f"{p}t2"))
+    return docs.join(gone, same, "left_anti")

@@ -45,6 +45,33 @@ def test_near_duplicates_match_brute_force(spark):
     assert minhash.mark(docs.where(F.lit(False))).count() == 0
 
 
+def test_near_duplicates_of_large_buckets(spark):
+    # Variants of one page in a chain, and pages apart from them: more than one block, with and without sets left over.
+    rng = random.Random(3)
+    words, rows = [f"w{i}" for i in range(300)], []
+    for i in range(160):
+        w = list(words)
+        for k in range(i % 7):
+            w[(11 * i + 40 * k) % 300] = f"x{i}-{k}"
+        rows.append((i, " ".join(w), "k"))
+    far = [rng.choice([f"y{k}", words[k]]) for k in range(300)]
+    rows += [(500 + i, " ".join([*far[: 290 - i], *[f"z{i}-{k}" for k in range(4)]]), "k") for i in range(30)]
+    want = brute.components([r[:2] for r in rows])
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for how in ({"block": 12, "hubs": 2}, {"block_bytes": 30_000, "hubs": 1}, {"block": 5, "hubs": 1, "rows": 1, "bands": 8}):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.mark(docs, **how).collect()} == want
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(4, a, "k"), (5, a, "k"), (5, b, "k"), (6, b, "k"), (6, b, "k"), (7, c, "k"), (None, b, "k"), (8, "long " * 300_000, "k"), (9, None, "k"), (9, "", "k")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    marked = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.mark(docs).collect()}
+    assert marked == {(4, 36): (4, True), (5, 36): (4, False), (6, 36): (4, False), (7, 36): (7, True), (None, 36): (None, True), (8, 1): (8, True), (9, 0): (9, True)}
+    left = sorted((r.doc_id or 0, r.text or "") for r in minhash.dedup(docs).collect())
+    assert left == sorted([(0, b), (4, a), (5, b), (7, c), (8, rows[7][1]), (9, ""), (9, "")])
+
+
 def test_linked_connects_what_reaches_the_threshold():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 60, 150).astype(np.uint64)
