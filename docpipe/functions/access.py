@@ -9,11 +9,12 @@ Every method gives NULL, or false for tests, where the field is missing or has a
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from docpipe.functions.values import canonical, custom_parts, custom_type, kind_of
+from docpipe.functions.values import custom_parts, custom_type, kind_of
 
 DOC = "doc"
 
@@ -172,9 +173,12 @@ class TypedAccess:
 class DocumentAccess:
     """Fields of ``doc``, a map from top-level names to variants."""
 
+    def _doc(self) -> Column:
+        return F.col(DOC)
+
     def column(self, path: str) -> Column:
         head, *rest = path.split(".")
-        v = F.try_element_at(F.col(DOC), F.lit(head))
+        v = F.try_element_at(self._doc(), F.lit(head))
         if rest:
             v = F.try_variant_get(v, "$" + "".join("['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in rest), "variant")
         return v
@@ -223,26 +227,26 @@ class DocumentAccess:
         return canonical_json(self.column(path))
 
     def equals(self, path: str, value: object) -> Column:
-        return sure(self.canonical(path) == canonical(value))
+        return sure(self.canonical(path) == canonical_literal(value))
 
     def member(self, path: str, values: list) -> Column:
-        texts = [canonical(v) for v in values if v is not None]
+        texts = [canonical_literal(v) for v in values if v is not None]
         return sure(self.canonical(path).isin(*texts)) if texts else F.lit(False)
 
     def is_array(self, path: str) -> Column:
-        return sure(self._schema(path).startswith("ARRAY<"))
+        return self._array(path).isNotNull()
 
     def is_object(self, path: str) -> Column:
-        return sure(self._schema(path).startswith("OBJECT<"))
+        return F.try_variant_get(self.column(path), "$", "map<string,variant>").isNotNull()
 
-    def _elements(self, path: str) -> Column:
-        return F.when(self.is_array(path), F.try_variant_get(self.column(path), "$", "array<variant>"))
+    def _array(self, path: str) -> Column:
+        return F.try_variant_get(self.column(path), "$", "array<variant>")
 
     def array_has(self, path: str, value: object) -> Column:
-        return sure(F.exists(self._elements(path), lambda x: sure(canonical_json(x) == canonical(value))))
+        return sure(F.exists(self._array(path), lambda x: sure(canonical_json(x) == canonical_literal(value))))
 
     def size(self, path: str) -> Column:
-        return F.coalesce(F.length(self.text(path)), F.when(self.is_array(path), F.size(self._elements(path))))
+        return F.coalesce(F.length(self.text(path)), F.when(self.is_array(path), F.size(self._array(path))))
 
     def json_text(self, path: str) -> Column:
         return F.coalesce(self.custom_text(path), self._string(path), canonical_json(self.column(path)))
@@ -255,9 +259,41 @@ def number_text(c: Column) -> Column:
     return F.when(whole, d.cast("decimal(20,0)").cast("string")).otherwise(d.cast("string"))
 
 
+#: JSON text in parts: string literals, numbers, and what stands between.
+_PARTS = r'("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+)'
+
+
+def _folded_number(part: Column) -> Column:
+    whole = part.rlike(r"^-?\d{1,18}$") & (part != "-0")
+    d = part.try_cast("double")
+    near = (d == F.floor(d)) & (F.abs(d) < 1e18)
+    return F.when(whole, part).when(near, F.when(near, d).cast("decimal(20,0)").cast("string")).otherwise(d.cast("string"))
+
+
 def canonical_json(v: Column) -> Column:
-    """JSON of a variant with sorted keys; numbers have one form whatever their type."""
-    return F.regexp_replace(F.to_json(v), r'(?<=[\[:,]|^)(-?\d+)\.0+(?=[\],}]|$)', "$1")
+    """JSON of a variant with sorted keys. Numbers have one form whatever their type: whole numbers below 10^18 their digits, others
+    that of a double. Strings stay as they are."""
+    text = F.to_json(v)
+
+    def folded(t: Column) -> Column:
+        parts = F.regexp_extract_all(t, F.lit(_PARTS), F.lit(1))
+        return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^-?[0-9]"), _folded_number(x)).otherwise(x)), "")
+
+    plain = text.startswith('"') | text.isin("true", "false", "null") | (text.rlike(r"^-?\d{1,18}$") & (text != "-0"))
+    return F.when(plain, text).otherwise(folded(text))
+
+
+def canonical_literal(value: object) -> Column:
+    """The same text of a Python value, by the same expression."""
+    return canonical_json(F.parse_json(F.lit(json.dumps(value, ensure_ascii=False, allow_nan=False))))
+
+
+def unused(columns: Iterable[str]) -> str:
+    """A prefix that no column's name starts with."""
+    names, out = [c.lower() for c in columns], "__"
+    while any(n.startswith(out) for n in names):
+        out += "_"
+    return out
 
 
 def as_variant(c: Column, kind: str) -> Column:
@@ -281,9 +317,16 @@ def is_documents(df: DataFrame) -> bool:
     return isinstance(t, T.MapType) and isinstance(t.valueType, T.VariantType)
 
 
+def parsed(df: DataFrame, json_column: str) -> DataFrame:
+    """``df`` with its JSON texts as a variant ``v``, NULL where they are no object. Of equal keys in an object the last one counts."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    text = F.col(quoted(json_column))
+    return df.select(F.when(F.ltrim(F.translate(text, "\t\r\n", "   ")).startswith("{"), F.try_parse_json(text)).alias("v"))
+
+
 def documents(df: DataFrame, json_column: str) -> DataFrame:
     """JSON texts of objects as a collection of documents; malformed texts are left out."""
-    return df.select(F.try_parse_json(F.col(quoted(json_column))).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT<")).select(F.variant_get("v", "$", "map<string,variant>").alias(DOC))
+    return parsed(df, json_column).where(F.col("v").isNotNull()).select(F.variant_get("v", "$", "map<string,variant>").alias(DOC))
 
 
 def to_rows(df: DataFrame) -> list[dict]:

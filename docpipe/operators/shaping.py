@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docpipe.functions.access import DOC, DocumentAccess, TypedAccess, access_for, as_variant, canonical_json, is_documents, quoted
+from docpipe.functions.access import DOC, DocumentAccess, TypedAccess, access_for, as_variant, canonical_json, is_documents, quoted, unused
 from docpipe.functions.scalars import scalar
 from docpipe.operators.predicates import Test, predicate
 from docpipe.plans.steps import FieldChange, Join, Sort
@@ -69,21 +69,25 @@ def grouped(df: DataFrame, field: str, sizes_only: bool = False) -> DataFrame:
 
 
 def looked_up(df: DataFrame, remote: DataFrame, join: Join, sizes_only: bool = False) -> DataFrame:
-    """Each row with the remote rows of equal key under a new field; NULL where there are none."""
+    """Each row with the remote rows of equal key under a new field; NULL where there are none. Keys of different kinds are never equal."""
     own, other = access_for(df), access_for(remote)
+    p = unused([*df.columns, *remote.columns])
     rows = F.count(F.lit(1)).cast("int") if sizes_only else F.collect_list(_packed(remote))
     if not is_documents(df) and not is_documents(remote):
-        matches = remote.where(other.present(join.remote)).groupBy(other.column(join.remote).alias("__key")).agg(rows.alias("__rows"))
+        matches = remote.where(other.present(join.remote)).groupBy(other.column(join.remote).alias(f"{p}key")).agg(rows.alias(f"{p}rows"))
         kept = [F.col(quoted(c)) for c in df.columns if c != join.into]
-        return df.withColumn("__local", own.column(join.local)).join(matches, F.col("__local") == F.col("__key"), "left").select(*kept, F.col("__rows").alias(join.into))
+        if own.kind(join.local) != other.kind(join.remote) or own.kind(join.local) is None:
+            return df.select(*kept, F.lit(None).cast(matches.schema[f"{p}rows"].dataType).alias(join.into))
+        return df.withColumn(f"{p}local", own.column(join.local)).join(matches, F.col(f"{p}local") == F.col(f"{p}key"), "left").select(*kept, F.col(f"{p}rows").alias(join.into))
     if not (is_documents(df) and is_documents(remote)):
         raise ValueError("a lookup needs two collections of the same form")
     # Texts of values as keys: an explicit null finds explicit nulls.
-    matches = remote.where(other.present(join.remote)).groupBy(other.canonical(join.remote).alias("__key")).agg(rows.alias("__rows"))
-    joined = df.withColumn("__local", own.canonical(join.local)).join(matches, F.col("__local") == F.col("__key"), "left")
-    value = as_variant(F.col("__rows"), "number") if sizes_only else F.coalesce(F.col("__rows").cast("variant"), F.parse_json(F.lit("null")))
+    matches = remote.where(other.present(join.remote)).groupBy(other.canonical(join.remote).alias(f"{p}key")).agg(rows.alias(f"{p}rows"))
+    joined = df.withColumn(f"{p}local", own.canonical(join.local)).join(matches, F.col(f"{p}local") == F.col(f"{p}key"), "left")
+    found = F.col(f"{p}rows")
+    value = as_variant(found, "number") if sizes_only else F.coalesce(found.cast("variant"), F.parse_json(F.lit("null")))
     with_field = F.map_concat(F.map_filter(F.col(DOC), lambda k, _: k != join.into), F.create_map(F.lit(join.into), value))
-    return joined.select(F.when(F.col("__local").isNull(), F.col(DOC)).otherwise(with_field).alias(DOC))
+    return joined.select(F.when(F.col(f"{p}local").isNull(), F.col(DOC)).otherwise(with_field).alias(DOC))
 
 
 def counted(df: DataFrame) -> DataFrame:

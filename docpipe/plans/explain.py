@@ -38,25 +38,22 @@ def step_fields(step: Step) -> list[str]:
     return []
 
 
+#: The sentences of advice.
+NO_INDEX, CONSIDER = "No index was used for this query.", " Consider creating an index on: {}."
+MOVE_FILTER = "FILTER step on field '{}' at step {} is not the first step; move it to the top of the pipeline so it can use an index and reduce documents scanned."
+
+
 def suggestions(steps: tuple[Step, ...], index_used: bool) -> list[str]:
     out = []
     if not index_used:
         fields = list(dict.fromkeys(f for s in steps for f in step_fields(s)))
-        out.append("No index was used for this query." + (f" Consider creating an index on: {', '.join(fields)}." if fields else ""))
+        out.append(NO_INDEX + (CONSIDER.format(", ".join(fields)) if fields else ""))
     for n, s in enumerate(steps):
         if n and isinstance(s, Filter):
-            names = ", ".join(dict.fromkeys(filter_fields(s.test)))
-            out.append(f"FILTER step on field '{names}' at step {n + 1} is not the first step; move it to the top of the pipeline so it can use an index and reduce documents scanned.")
+            out.append(MOVE_FILTER.format(", ".join(dict.fromkeys(filter_fields(s.test))), n + 1))
     return out
 
 
-def usable_indexes(steps: tuple[Step, ...], indexed: set[str], remote_indexed: set[str] = frozenset()) -> list[str]:
-    """Indexed fields that the first step, or a JOIN's remote side, can use."""
-    found = {f for s in steps[:1] if not isinstance(s, Join) for f in step_fields(s) if f in indexed}
-    found |= {s.remote for s in steps if isinstance(s, Join) and s.remote in remote_indexed}
-    return sorted(found)
-
-
 class Stopwatch:
     def __init__(self) -> None:
         self.start = int(time.time() * 1000)

@@ -12,7 +12,7 @@ NAME = re.compile(r"[a-zA-Z0-9_-]{3,64}")
 
 
 class InvalidStep(ValueError):
-    """A step that can't be run; the text says why."""
+    """A step that can't be run; the text says why. The texts below, names of steps and of their fields are fixed values: clients match them."""
 
 
 @dataclass(frozen=True)

@@ -47,7 +47,8 @@ class Files:
 
     def write(self, name: str, value: dict) -> None:
         """Written beside and renamed over, so readers see the old or the new one."""
-        beside = f"{name}.new"
+        folder, _, last = name.rpartition("/")
+        beside = f"{folder}/_{last}.new" if folder else f"_{last}.new"  # a name that Spark's readers pass over
         stream = self._store(name).create(self._path(beside), True)
         stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         stream.close()

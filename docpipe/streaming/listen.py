@@ -1,7 +1,9 @@
 """Live queries: a pipeline is run again when one of its collections changes, and its result pushed if it is another.
 
-Each watched collection's change log is a Structured Streaming source; a micro-batch, which may hold many changes, means one
-new run. The state of a listener is the hash of its last result, on the driver.
+Each watched collection's folder of change markers, written once a change counts, is a Structured Streaming source; a
+micro-batch, which may hold many changes, means one new run. The state of a listener is the hash of its last result, on the
+driver. Where the order of rows doesn't matter, a fingerprint computed by the executors says first whether there is anything new
+to collect.
 """
 
 from __future__ import annotations
@@ -12,14 +14,15 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docpipe.functions.access import to_rows
+from docpipe.functions.access import DOC, canonical_json, is_documents, to_rows
 from docpipe.functions.values import canonical
-from docpipe.sources.store import LOG
 
 Push = Callable[[dict], None]
+#: Fixed value: the message of a push.
+UPDATED = "Query results updated"
 
 
 def result_hash(rows: list[dict], ordered: bool) -> str:
@@ -28,6 +31,13 @@ def result_hash(rows: list[dict], ordered: bool) -> str:
     return hashlib.sha256("\n".join(texts if ordered else sorted(texts)).encode()).hexdigest()
 
 
+def fingerprint(df: DataFrame) -> tuple:
+    """Of the rows whatever their order: their number, and two sums over hashes of their texts."""
+    text = canonical_json(F.to_variant_object(F.col(DOC))) if is_documents(df) else F.to_json(F.struct("*"))
+    of = lambda seed: F.sum(F.xxhash64(F.lit(seed), "text").cast("decimal(38,0)"))
+    return tuple(df.select(text.alias("text")).agg(F.count(F.lit(1)), of(1), of(2)).first())
+
+
 @dataclass
 class Listener:
     listen_id: str
@@ -40,18 +50,24 @@ class Listener:
     streams: list[StreamingQuery] = field(default_factory=list)
     lock: threading.Lock = field(default_factory=threading.Lock)
     live: bool = True
+    mark: tuple | None = None
 
     def check(self) -> bool:
         """Run again; push and return true if the result is another."""
         with self.lock:
             if not self.live:
                 return False
-            rows = to_rows(self.run())
+            found = self.run()
+            if not self.ordered:
+                mark, self.mark = self.mark, fingerprint(found)
+                if mark == self.mark:
+                    return False
+            rows = to_rows(found)
             now = result_hash(rows, self.ordered)
             if now == self.last:
                 return False
             self.last = now
-        self.push({"type": "LISTEN", "status": "OK", "message": "Query results updated", "listenId": self.listen_id, "results": rows, "resultHash": now})
+        self.push({"type": "LISTEN", "status": "OK", "message": UPDATED, "listenId": self.listen_id, "results": rows, "resultHash": now})
         return True
 
 
@@ -65,7 +81,7 @@ class Listeners:
         rows = to_rows(run())
         listener = Listener(str(uuid.uuid4()), run, ordered, push, set(paths), result_hash(rows, ordered), owner)
         for n, path in enumerate(sorted(listener.watched)):
-            changes = self.spark.readStream.schema(LOG).parquet(f"{path}/log").select("_seq")
+            changes = self.spark.readStream.schema("seq long").option("ignoreMissingFiles", "true").json(f"{path}/changes")
 
             def each(batch: DataFrame, _: int, listener: Listener = listener) -> None:
                 if not batch.isEmpty():
