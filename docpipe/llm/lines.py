@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-Lines are compared in normal form (lower case, single spaces). A line goes if an earlier one (by document id, then position)
-is equal, or is within one word edit (a word more, less or other) and both have ``min_edit_words`` or more. Lines of fewer than
-``min_words`` words always stay.
+Lines are compared in normal form: lower case, single spaces, and each character of a script without spaces as a word of its
+own. A line goes if an earlier one (by document id, then text, then position) is equal, or is within the edit bound: one word
+more, less or other for lines of ``min_edit_words`` or more, none for shorter ones.
 
 Equal lines are found by hash. For the others each line has as its neighbourhood the line itself and all variants with one
 word deleted; two lines within one edit share a variant. Emitting it for every line would be most of the work for nothing: one
@@ -11,23 +11,23 @@ less) no other line has can't be near any. Variants are emitted only for the oth
 joined with that of the shared half. In a group of equal variants the earliest line stands against all others, so a group
 gives as many pairs as it has lines; the edit distance of each pair is then verified on its words.
 
-Defined results: a null text has one empty line and stays null; rows of one id and equal text count as one document and get
-the same result; null ids come first; different texts of one id rank by
-position; extra columns are kept.
+Defined results: a null text has one empty line and stays null; empty lines stay; rows of one id and equal text count as one
+document and get the same result; null ids come first; different texts of one id rank by a hash of the text, then by position;
+a very long text is one row like any other, and its lines are rows of their own; an empty table gives no rows; extra columns
+are kept, those named like an output are replaced.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docpipe.llm.names import free_prefix, others
-from docpipe.llm.quality import let, without_lines
+from docpipe.llm.quality import folded, let, spaces_in, without_lines
+from docpipe.llm.scripts import UNSPACED
 from docpipe.llm.storage import written
 
 _SALTS = 8
-_BITS = 22  # of the filter that spares most texts the way to the variants; its size is fixed
+_FEW_TEXTS = 1_000_000  # of which the 64-bit hashes may be sent to all tasks
 _HALVES = ("k0", "k1", "k2", "k3")
 
 
@@ -36,33 +36,33 @@ def _text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2")]
 
 
-def _folded(text: Column) -> Column:
-    """A text whose lines are in normal form once they are trimmed; the pattern is only run where there is something to fold."""
-    other = reduce(lambda a, b: a | b, [F.instr(text, c) > 0 for c in "\t\x0b\x0c\r"])
-    plain = F.when(other, F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")).otherwise(F.lower(text))
-    return let(plain, lambda x: F.when(F.instr(x, "  ") > 0, F.regexp_replace(x, " +", " ")).otherwise(x))
+def _apart(text: Column) -> Column:
+    """The text with characters of scripts without spaces as words."""
+    beyond = (F.octet_length(text) > F.length(text)) & text.rlike(r"[\x{E00}-\x{10FFFF}]")  # one range is found fast
+    return F.when(beyond, F.regexp_replace(text, f"([{UNSPACED}])", " $1 ")).otherwise(text)
 
 
-def _place(doc: Column, pos: Column) -> Column:
-    """(doc, pos) as one number that orders like the pair, null ids first."""
-    return F.coalesce(doc.cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)")) * F.lit(4294967296).cast("decimal(10,0)") + pos
+def _place(doc: Column, t1: Column, pos: Column) -> Column:
+    """(doc, some bits of the text's hash, pos) as one number that orders like the three, null ids first."""
+    whole = F.coalesce(doc.cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)")) * F.lit(10**18).cast("decimal(19,0)")
+    return (whole + (t1.bitwiseAND(F.lit((1 << 27) - 1)) * (1 << 31) + pos).cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
 def _exploded(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
     # Folded before they are exploded: what stands after would be repeated wherever a line is used.
-    body = _folded(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    body = let(_apart(F.coalesce(F.col(f"`{text}`"), F.lit(""))), folded)
     lines = docs.select(*keep, F.posexplode(F.transform(F.split(body, "\n", -1), lambda x: F.trim(x))).alias("pos", "line"))
     return lines.where(F.col("line") != "")
 
 
-def _features(docs: DataFrame, text: str, doc_id: str, min_words: int, min_edit_words: int) -> DataFrame:
+def _features(docs: DataFrame, text: str, doc_id: str, min_edit_words: int) -> DataFrame:
     """Each line with its hashes, its number of words and the hashes of its halves.
 
     k0, k1: first n // 2 and last n - n // 2 words; k2, k3: the same cut for n - 1, with one word more in the middle left out.
     """
     found = _exploded(docs, text, F.col(f"`{doc_id}`").cast("long").alias("doc"), *_text_keys(F.col(f"`{text}`")))
     line = F.col("line")
-    found = found.withColumn("n", F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_words)
+    found = found.withColumn("n", spaces_in(line) + 1)
 
     def half(less: int, first: bool) -> Column:
         n = F.col("n") - less
@@ -71,19 +71,13 @@ def _features(docs: DataFrame, text: str, doc_id: str, min_words: int, min_edit_
         return F.when(n >= min_edit_words, F.xxhash64(n, F.lit(first), part))
 
     halves = [half(less, first).alias(k) for k, (less, first) in zip(_HALVES, ((0, True), (0, False), (1, True), (1, False)), strict=True)]
-    return found.select("doc", "t1", "t2", "pos", _place(F.col("doc"), F.col("pos")).alias("at"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), "n", *halves)
+    return found.select("doc", "t1", "t2", "pos", _place(F.col("doc"), F.col("t1"), F.col("pos")).alias("at"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), "n", *halves)
 
 
-def _filter_bits(hashes: DataFrame, column: str) -> Column:
-    """A filter of fixed size on a column of hashes: false only for values that aren't in ``hashes``."""
-    bucket = F.pmod(F.col(column), F.lit(1 << _BITS))
-    bit = F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")
-    rows = hashes.groupBy(F.shiftright(bucket, 6).alias("slot")).agg(F.bit_or(bit).alias("bits")).collect()
-    slots = [0] * (1 << (_BITS - 6))
-    for r in rows:
-        slots[r["slot"]] = r["bits"]
-    table = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<bigint>")
-    return bit.bitwiseAND(F.get(table, F.shiftright(bucket, 6).cast("int"))) != 0
+def _holding(texts: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The texts whose hash t1 is among ``hashes``."""
+    few = hashes.distinct()
+    return texts.join(F.broadcast(few) if few.count() <= _FEW_TEXTS else few.hint("merge"), "t1", "left_semi")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -128,8 +122,8 @@ def _near(docs: DataFrame, groups: DataFrame, text: str) -> DataFrame:
     some = halves.join(shared, "half").groupBy("h1", "h2").agg(F.collect_set("half").alias("shared"))
     some = written(groups.join(some, ["h1", "h2"]).drop("copies"), "lines-shared")
     # Their words, from one text that holds each.
-    holders = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("t1")).where(_filter_bits(some.select("t1"), "t1"))
-    found = _exploded(holders.dropDuplicates(["t1"]), "text").select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "line").dropDuplicates(["h1", "h2"])
+    holders = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("t1"))
+    found = _exploded(_holding(holders, some.select("t1")).dropDuplicates(["t1"]), "text").select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "line").dropDuplicates(["h1", "h2"])
     lines = written(some.join(found, ["h1", "h2"]).withColumn("words", F.split("line", " ")).drop("line"), "lines-candidates")
     variants = written(_variants(lines), "lines-variants")
     side = F.when(F.col("kind") == 0, 0).otherwise(1).alias("side")
@@ -143,9 +137,9 @@ def _near(docs: DataFrame, groups: DataFrame, text: str) -> DataFrame:
     return seen.where(within_one_word(F.col("words"), F.col("other"))).select("h1", "h2").distinct()
 
 
-def find_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 5, min_edit_words: int = 8) -> DataFrame:
+def find_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_edit_words: int = 5) -> DataFrame:
     """(doc, t1, t2, exact, near): for each document that loses lines, their positions by reason."""
-    features = written(_features(docs, text, doc_id, min_words, min_edit_words), "lines-features")
+    features = written(_features(docs, text, doc_id, min_edit_words), "lines-features")
     groups = features.groupBy("h1", "h2").agg(
         F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.min("t1").alias("t1"), F.max("n").alias("n"), *[F.max(k).alias(k) for k in _HALVES]
     )

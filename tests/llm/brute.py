@@ -60,13 +60,13 @@ def one_word(a, b):
     return any(a[:i] + a[i + 1 :] == (b if len(a) > len(b) else b[:i] + b[i + 1 :]) for i in range(len(a)))
 
 
-def line_dups(rows, min_words=5, min_edit=8):
+def line_dups(rows, min_edit=5):
     """rows: (id, text) with distinct ids. {id: (exact, near)}."""
     first, every = {}, []
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         for i, x in enumerate((t or "").split("\n")):
-            n = normal(x)
-            if n and len(n.split(" ")) >= min_words:
+            n = normal(re.sub(r"([\u0e00-\u0eff\u3041-\u30fa\u4e00-\u9fff])", r" \1 ", x))
+            if n:
                 every.append((d, i, n))
                 first.setdefault(n, len(every))
     order = sorted(first, key=first.get)

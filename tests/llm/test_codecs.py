@@ -112,7 +112,7 @@ def test_pipeline_matches_plain_python(spark, tmp_path):
     dups = brute.line_dups(left)
     left = [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in sum(dups.get(d, ([], [])), []))) for d, t in left]
     left = [(d, t) for d, t in left if t]
-    groups = brute.components(left)
+    groups = brute.components(left, 80)
     left = [(d, t) for d, t in left if groups[d][1] == d]
     leaked = {d for d, _ in brute_leaks(left, items)}
     left = [(d, t) for d, t in left if d not in leaked]

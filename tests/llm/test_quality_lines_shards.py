@@ -76,13 +76,35 @@ def test_lines_match_brute_force(spark):
 def test_lines_text_and_edges(spark):
     long = "one two three four five six seven eight nine"
     rows = [(1, long + "\nshort line", "a", "", "", ""), (2, "keep\n" + long.upper() + "\n" + long.replace("four", "4"), "a", "", "", ""), (3, None, "a", "", "", ""), (1, long + "\nshort line", "a", "", "", "")]
+    rows += [(4, "Short  line\nnew\nkeep", "a", "", "", ""), (5, "漢字の長い段落です。\nsee five", "a", "", "", ""), (6, "漢字の短い段落です。\nsee fiv", "a", "", "", "")]
     docs = spark.createDataFrame(rows, SCHEMA)
     out = lines.dedup(docs)
     assert out.columns == docs.columns
-    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [(1, rows[0][1]), (1, rows[0][1]), (2, "keep"), (3, "")]
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [(1, rows[0][1]), (1, rows[0][1]), (2, "keep"), (3, ""), (4, "new"), (5, rows[5][1]), (6, "see fiv")]
     assert lines.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_lines_of_one_id_with_two_texts(spark):
+    rows = [(1, "alpha beta\nfirst", "a", "", "", ""), (1, "alpha beta\nsecond", "a", "", "", ""), (2, "alpha beta", "a", "", "", "")]
+    out = lines.dedup(spark.createDataFrame(rows, SCHEMA))
+    left = [r.text for r in out.collect()]
+    assert sum("alpha beta" in t for t in left) == 1 and sum("first" in t for t in left) == 1 and sum("second" in t for t in left) == 1 and "" in left
+
+
+def test_lines_of_very_long_texts(spark):
+    rows = [(1, "\n".join(f"line {i % 5000} of a long text with words" for i in range(20_000)), "a", "", "", ""), (2, "word " * 50_000 + "\nnew", "a", "", "", ""), (3, "word " * 50_001 + "\nline 7 of a long text with words", "a", "", "", "")]
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = brute.line_dups([r[:2] for r in rows[1:]])
+    assert want == {3: ([], [0])} and got == {1: "line 0 of a long text with words", 2: rows[1][1], 3: ""}
+
+
+def test_large_and_small_sets_of_texts_give_the_same_lines(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(8), SCHEMA)
+    want = sorted((r.doc_id, r.text or "") for r in lines.dedup(docs).collect())
+    monkeypatch.setattr(lines, "_FEW_TEXTS", 0)
+    assert sorted((r.doc_id, r.text or "") for r in lines.dedup(docs).collect()) == want
+
+
 def test_shards(spark):
     rows = corpus(5, 400) + [(None, None, "a", "", "", ""), (3, "dup", "a", "", "", ""), (3, "dup", "a", "", "", "")]
     docs = spark.createDataFrame(rows, SCHEMA)
