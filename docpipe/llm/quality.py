@@ -40,9 +40,9 @@ def words_of(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """A text whose lines are in normal form (lower case, single spaces) once they are trimmed; the pattern is only run where there is something to fold."""
-    other = reduce(lambda a, b: a | b, [F.instr(text, c) > 0 for c in "\t\x0b\x0c\r"])
+    other = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"])
     plain = F.when(other, F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")).otherwise(F.lower(text))
-    return let(plain, lambda x: F.when(F.instr(x, "  ") > 0, F.regexp_replace(x, " +", " ")).otherwise(x))
+    return let(plain, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " +", " ")).otherwise(x))
 
 
 def lines_of(text: Column) -> Column:
