@@ -117,5 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_near_duplicates": oracles.NEAR,
     "op3_line_dedup": oracles.LINES,
+    "op4_url_filter": oracles.URLS,
     "op8_quality_rules": oracles.QUALITY,
 }

@@ -5,8 +5,13 @@ growth over labelled urls (that of FP-growth, level by level in DataFrame operat
 the bad label with enough confidence and support become block rules, longer ones that a shorter one covers are dropped. Each mined rule is posted under its rarest token, so a url meets only rules
 of its own tokens; the rest of the rule is then compared.
 
+Spark ML's FPGrowth isn't used for it: it lists every frequent combination, 2^n for n tokens that go together, and gives them
+up only by a cut of the urls or of the combinations' length.
+
 Defined results: host and path of a null url, or of one without ``://``, are empty and it is allowed; a url that no rule
-fits is allowed; repeated rows and null ids are kept; without labelled urls nothing is mined.
+fits is allowed; repeated rows and null ids are kept; without labelled urls nothing is mined; a very long url is one row of
+tokens, all of them used; an empty table of pages gives no rows; extra columns are kept, those named like an output (host, path,
+rule, verdict, mined) are replaced. Ids of pages and labels are compared as they are.
 """
 
 from __future__ import annotations

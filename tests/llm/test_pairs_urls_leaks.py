@@ -130,15 +130,47 @@ def test_masks_find_every_window_that_counts():
             assert any(all(s + i not in wrong for i in m) for m, mask in zip(on, decontaminate.MASKS, strict=True) for s in range(size - len(mask) + 1))
 
 
+def plain_words(text):
+    """Words as the operator takes them, character by character."""
+    out = ""
+    for c in (text or "").lower():
+        if "\u0e00" <= c <= "\u0eff" or "\u3041" <= c <= "\u30fa" or "\u4e00" <= c <= "\u9fff":
+            out += f" {c} "
+        elif c < "\x80" and not c.isalnum() or "\u3000" <= c <= "\u303f" or "\uff01" <= c <= "\uff0f":
+            out += " "
+        else:
+            out += c
+    return [w for w in out.split(" ") if w]
+
+
+def brute_classes(items, window=13):
+    holders, root = {}, {i: i for i, _ in items}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in items:
+        v = plain_words(x)
+        k = min(window, len(v))
+        for q in range(len(v) - k + 1 if k else 0):
+            a, b = find(holders.setdefault(tuple(v[q : q + k]), i)), find(i)
+            root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in root}
+
+
 def brute_leaks(docs, items):
-    out = set()
+    """(document, class of items) pairs."""
+    out, classes = set(), brute_classes(items)
     for d, t in docs:
-        w = decontaminate.folded(t or "")
+        w = plain_words(t)
         for i, x in items:
-            v = decontaminate.folded(x or "")
-            k = min(decontaminate.WINDOW, len(v))
-            if len(v) >= decontaminate.MIN_ITEM_WORDS and any(sum(a == b for a, b in zip(w[p : p + k], v[q : q + k], strict=True)) + decontaminate.MAX_WRONG * k // decontaminate.WINDOW >= k for p in range(len(w) - k + 1) for q in range(len(v) - k + 1)):
-                out.add((d, i))
+            v = plain_words(x)
+            k = min(13, len(v))
+            wrong = 2 * k // 13 if len(v) >= 9 else 0
+            if k and any(sum(a == b for a, b in zip(w[p : p + k], v[q : q + k], strict=True)) + wrong >= k for p in range(len(w) - k + 1) for q in range(len(v) - k + 1)):
+                out.add((d, classes[i]))
     return out
 
 
@@ -146,6 +178,8 @@ def test_leaks_match_brute_force(spark):
     rng = random.Random(3)
     words = [f"v{i}" for i in range(300)]
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([5, 16, 20, 40])))) for i in range(20)] + [(90, None), (91, "")]
+    shared = " ".join(rng.choice(words) for _ in range(30))
+    items += [(100 + i, f"{rng.choice(words)} {rng.choice(words)} {shared} {rng.choice(words)}") for i in range(25)] + [(15, items[15][1])]
     docs = []
     for d in range(150):
         w = [rng.choice(words) for _ in range(rng.randint(0, 80))]
@@ -155,17 +189,24 @@ def test_leaks_match_brute_force(spark):
                 p[rng.randrange(len(p))] = rng.choice(words)
             at = rng.randint(0, len(w))
             w[at:at] = p
+        if d % 10 == 1:
+            w += shared.split(" ")[rng.randint(0, 12) :]
         docs.append((d, rng.choice([" ", ", "]).join(w).upper() if d % 2 else "\n".join(w)))
-    docs += [(500, None), (501, ""), (None, items[3][1])]
+    docs += [(500, None), (501, ""), (None, items[3][1]), (502, " ".join(rng.choice(words) for _ in range(30_000)) + " " + items[8][1] + " end")]
     frame = spark.createDataFrame([(*d, "k") for d in docs], SCHEMA)
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame([*items, (None, "not an item")], "item_id long, text string")
     want = brute_leaks(docs, items)
     for size in (2_000_000, 300):
-        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, bench, block_words=size).collect()} == want
+        got = decontaminate.find_leaks(frame, bench, block_words=size).collect()
+        assert len(got) == len(want) and {(r.doc_id, r.item_id) for r in got} == want
+        for r in got:
+            assert (r.n_equal >= 11 or r.n_equal == 5) and r.first_word < 31_000
         left = decontaminate.clean(frame, bench, block_words=size)
         assert left.columns == frame.columns
         assert Counter(r.doc_id for r in left.collect()) == Counter(d for d, _ in docs if d not in {x for x, _ in want})
-    assert len(want) > 25
+    assert len(want) > 25 and sum(c == 100 for _, c in want) >= 15
+    classes = {r.item_id: r.class_id for r in decontaminate.item_classes(bench).collect()}
+    assert classes == {i: c for i, c in brute_classes(items).items() if i >= 100}
     assert decontaminate.find_leaks(frame, bench.where(F.lit(False))).count() == 0
     assert decontaminate.find_leaks(frame.where(F.lit(False)), bench).count() == 0
 
