@@ -27,11 +27,14 @@ def _datetime(inner: Column) -> Column:
 
 def _time(inner: Column) -> Column:
     """Nanoseconds of the day."""
-    valid = inner.rlike(r"^([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,9})?)?$")
-    part = lambda i: F.coalesce(F.get(F.split(inner, ":"), F.lit(i)), F.lit("0"))
-    fraction = F.rpad(F.regexp_extract(inner, r"\.(\d+)$", 1), 9, "0").cast("long")
-    seconds = part(0).cast("long") * 3600 + part(1).cast("long") * 60 + F.regexp_extract(F.concat(part(2), F.lit("")), r"^(\d+)", 1).cast("long")
-    return F.when(valid, seconds * 1_000_000_000 + fraction)
+
+    def of(x: Column) -> Column:
+        valid = x.rlike(r"^([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,9})?)?$")
+        fraction = F.rpad(F.regexp_extract(x, r"\.(\d+)$", 1), 9, "0").cast("long")
+        digits = lambda at: F.coalesce(F.nullif(F.substring(x, at, 2), F.lit("")), F.lit("0")).cast("long")
+        return F.when(valid, (digits(1) * 3600 + digits(4) * 60 + digits(7)) * 1_000_000_000 + fraction)
+
+    return F.get(F.transform(F.array(inner), of), F.lit(0))  # the text is computed once
 
 
 _REGISTRY: dict[str, CustomType] = {}

@@ -73,7 +73,7 @@ add("filter_datetime_gte", "orders", [where(test("GREATER_THAN_EQUALS", "o_order
 add("filter_in", "customer", [where(test("IN", "c_mktsegment", ["BUILDING", "MACHINERY", "building", 7]))], "SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'building')")
 add("filter_not_in", "customer", [where(test("NOT_IN", "c_mktsegment", ["BUILDING", "MACHINERY"]))], "SELECT * FROM customer WHERE c_mktsegment IS NOT NULL AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
 add("filter_in_number", "part", [where(test("IN", "p_size", [1, 5, 10.0]))], "SELECT * FROM part WHERE p_size IN (1, 5, 10)")
-add("filter_contains_string", "part", [where(test("CONTAINS", "p_name", "1"))], "SELECT * FROM part WHERE contains(p_name, '1')")
+add("filter_contains_string", "part", [where(test("CONTAINS", "p_name", "ring"))], "SELECT * FROM part WHERE contains(p_name, 'ring')")
 
 
 def _with_ids(df: DataFrame) -> DataFrame:
@@ -95,13 +95,28 @@ add_nested("filter_object_in", test("IN", "meta", [{"size": 5, "brand": "Brand#1
 add_nested("filter_nested_path", test("SMALLER_THAN", "meta.size", 4), "p_size < 4")
 
 
+def _dear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where("o_totalprice > 400000")
+
+
 def filter_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outer = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    outer = table(spark, sf_dir, "customer").join(_dear(spark, sf_dir), F.col("c_custkey") == F.col("o_custkey"), "left")
     return Pipeline.parse([where(test("EQUALS", "o_orderkey", None))]).apply(outer).select("c_custkey", "c_name")
 
 
 QUERIES["filter_null"] = filter_null
-ORACLES["filter_null"] = "SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL"
+ORACLES["filter_null"] = "SELECT c_custkey, c_name FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey WHERE o_orderkey IS NULL"
+
+
+def filter_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of day as custom values of documents."""
+    texts = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("event_id").cast("string").alias("_id"), F.concat(F.lit("#time("), F.date_format("ts", "HH:mm:ss"), F.lit(")")).alias("at"))).alias("json"))
+    found = Pipeline.parse([where(both("AND", test("GREATER_THAN_EQUALS", "at", "#time(06:30)"), test("SMALLER_THAN", "at", "#time(18:00:00)")))]).apply(documents(texts, "json"))
+    return found.select(_field("_id", "string"), _field("at", "string"))
+
+
+QUERIES["filter_time"] = filter_time
+ORACLES["filter_time"] = "SELECT CAST(event_id AS VARCHAR) AS _id, strftime(ts, '#time(%H:%M:%S)') AS at FROM events WHERE strftime(ts, '%H:%M:%S') >= '06:30:00' AND strftime(ts, '%H:%M:%S') < '18:00:00'"
 
 # Conjunctions
 
@@ -133,7 +148,10 @@ add_fold("multiply_literal_first", "MULTIPLY", [2, "l_quantity"], "l_quantity")
 add_fold("divide", "DIVIDE", ["l_extendedprice", "l_quantity"], _SEED.format(a="l_extendedprice", x="l_quantity", f="l_extendedprice / l_quantity"))
 add_fold("divide_by_zero", "DIVIDE", ["l_extendedprice", 0], "CASE WHEN l_extendedprice > 0 THEN 'Infinity'::DOUBLE WHEN l_extendedprice < 0 THEN '-Infinity'::DOUBLE ELSE 'NaN'::DOUBLE END")
 add_fold("pow", "POW", ["l_quantity", 2], "l_quantity * l_quantity")
-add_fold("root", "ROOT", ["l_quantity", 1], "l_quantity")
+add(
+    "map_root", "lineitem", [mapped(add_field("square", {"type": "POW", "operands": ["l_quantity", 2]}), add_field("x", {"type": "ROOT", "operands": ["square", 2]}))],
+    "SELECT l_orderkey, l_linenumber, l_quantity, l_quantity * l_quantity AS square, sqrt(l_quantity * l_quantity) AS x FROM lineitem", ["l_orderkey", "l_linenumber", "l_quantity"],
+)
 add_fold("avg", "AVG", ["l_quantity", "l_extendedprice", "no_such_field"], "(l_quantity + l_extendedprice) / 2")
 add_fold("max", "MAX", ["l_discount", "l_tax", 0.05], "greatest(l_discount, l_tax, 0.05::DOUBLE)")
 add_fold("min", "MIN", ["l_discount", "l_tax", 0.05], "least(l_discount, l_tax, 0.05::DOUBLE)")
@@ -150,7 +168,10 @@ def add_cast(name: str, source: str, column: str, key: str, to: dict, sql: str)
     add(f"map_cast_{name}", source, [mapped(add_field("x", {"type": "CAST", "fieldName": column} | to))], f"SELECT {key}, {column}, {sql} AS x FROM {source}", [key, column])
 
 
-add_cast("number", "part", "p_brand", "p_partkey", {"toType": "NUMBER"}, "TRY_CAST(p_brand AS DOUBLE)")
+add(
+    "map_cast_number", "part", [mapped(add_field("text", {"type": "CONCAT", "operands": ["p_size", "-.5"]}), add_field("x", {"type": "CAST", "fieldName": "text", "toType": "NUMBER"}), add_field("none", {"type": "CAST", "fieldName": "p_brand", "toType": "NUMBER"}))],
+    "SELECT p_partkey, p_brand, p_size, p_size || '.5' AS text, p_size + 0.5::DOUBLE AS x, TRY_CAST(p_brand AS DOUBLE) AS none FROM part", ["p_partkey", "p_brand", "p_size"],
+)
 add_cast("string", "part", "p_size", "p_partkey", {"toType": "STRING"}, "CAST(p_size AS VARCHAR)")
 add_cast("boolean", "part", "p_size", "p_partkey", {"toType": "BOOLEAN"}, "p_size <> 0")
 
@@ -162,6 +183,16 @@ def map_cast_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["map_cast_datetime"] = map_cast_datetime
 ORACLES["map_cast_datetime"] = "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE date_trunc('second', ts) END AS x FROM events"
+
+
+def map_cast_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nanoseconds of the day."""
+    texts = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, "25:00").otherwise(F.date_format("ts", "HH:mm:ss")).alias("at"))
+    return Pipeline.parse([mapped(add_field("x", {"type": "CAST", "fieldName": "at", "toType": "JSON_CUSTOM", "customTypeName": "time"}), add_field("at", None))]).apply(texts)
+
+
+QUERIES["map_cast_time"] = map_cast_time
+ORACLES["map_cast_time"] = "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(floor(epoch(ts)) % 86400 AS BIGINT) * 1000000000 END AS x FROM events"
 _BIG = test("GREATER_THAN", "p_size", 25)
 add(
     "map_conditional_add", "part", [mapped(add_field("p_retailprice", {"type": "SUM", "operands": ["p_retailprice", 1]}, _BIG), add_field("big", {"type": "CONCAT", "operands": ["-yes"]}, _BIG))],
@@ -193,7 +224,12 @@ add(
     "join_lookup_nested", "customer", [_LOOKUP], "SELECT c_custkey, o_orderkey, o_orderstatus FROM customer LEFT JOIN orders ON c_custkey = o_custkey", ["c_custkey"],
     shape=lambda df: df.select("c_custkey", F.explode_outer("found").alias("o")).select("c_custkey", "o.o_orderkey", "o.o_orderstatus"),
 )
-add("join_lookup_no_match", "customer", [_LOOKUP, where(test("EQUALS", "found", None)), mapped(add_field("found", None))], "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", ["c_custkey"])
+QUERIES["join_lookup_no_match"] = lambda spark, sf_dir: Pipeline.parse([_LOOKUP, where(test("EQUALS", "found", None)), mapped(add_field("found", None))]).apply(table(spark, sf_dir, "customer").select("c_custkey"), lambda _: _dear(spark, sf_dir))
+ORACLES["join_lookup_no_match"] = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"
+add(
+    "join_lookup_unlike_types", "customer", [_LOOKUP | {"localField": "c_name"}, mapped(add_field("n", {"type": "SIZE", "operand": "found"}), add_field("found", None))],
+    "SELECT c_custkey, c_name, CAST(NULL AS INTEGER) AS n FROM customer", ["c_custkey", "c_name"],
+)
 add("count_all", "lineitem", [{"type": "COUNT"}], "SELECT count(*) AS count FROM lineitem")
 add("count_filtered", "lineitem", [where(_A), {"type": "COUNT"}], "SELECT count(*) AS count FROM lineitem WHERE l_quantity > 25")
 add("distinct_field", "customer", [{"type": "DISTINCT", "fieldName": "c_mktsegment"}], "SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL")
@@ -267,21 +303,106 @@ add_document(
     lambda df: df.select(_field("_id", "string"), _field("n", "long")), f"SELECT CAST(event_id AS VARCHAR) AS _id, n FROM events JOIN (SELECT {_K} AS k2, count(*) AS n FROM events GROUP BY 1) ON {_K} = k2 WHERE {_K} < 3",
 )
 
-# Point lookup, advice and live queries
 
-QUERIES["find_by_id"] = lambda spark, sf_dir: table(spark, sf_dir, "orders").where(F.col("o_orderkey") == 42).limit(1)
-ORACLES["find_by_id"] = "SELECT * FROM orders WHERE o_orderkey = 42"
+
+def json_number_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that are written in several ways, and strings that look like them, as groups."""
+    forms = F.element_at(F.array(*[F.concat(F.lit(a), F.col("p_size").cast("string"), F.lit(b)) for a, b in (("", ""), ("", ".0"), ("", "e0"), ('"x:', '.0,y"'), ('{"k":[', '.50e0]}'))]), F.pmod("p_partkey", F.lit(5)).cast("int") + 1)
+    texts = table(spark, sf_dir, "part").select(F.concat(F.lit('{"v":'), forms, F.lit("}")).alias("json"))
+    found = Pipeline.parse([{"type": "GROUP_BY", "fieldName": "v"}, _SIZE]).apply(documents(texts, "json"))
+    return found.select(F.to_json(F.try_element_at(DOC, F.lit("v"))).alias("v"), _field("n", "long"))
+
+
+QUERIES["json_number_forms"] = json_number_forms
+ORACLES["json_number_forms"] = (
+    "SELECT CASE WHEN p_partkey % 5 < 3 THEN '' || p_size WHEN p_partkey % 5 = 3 THEN '\"x:' || p_size || '.0,y\"' ELSE '{\"k\":[' || p_size || '.5]}' END AS v, count(*) AS n FROM part GROUP BY 1"
+)
+
+# Stored collections, through the engine
+
+
+def _engine(spark: SparkSession, interval: str = "1 second") -> Engine:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='docpipe-stored-')}"
+    engine = Engine(spark, f"{root.rstrip('/')}/stored-{uuid.uuid4().hex}", admin=("root", "rootpass1"), listen_interval=interval)
+    engine.catalog.create_database("shop")
+    return engine
+
+
+def _texts(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    return df.select(F.to_json(F.struct(F.col(key).cast("string").alias("_id"), *columns)).alias("json"))
+
+
+def find_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for three ids of a stored collection, one of which isn't there."""
+    engine = _engine(spark)
+    engine.catalog.create_collection("shop", "customers").load(_texts(table(spark, sf_dir, "customer"), "c_custkey", "c_name", "c_acctbal"), "json")
+    session = engine.session()
+    session.handle({"type": "AUTHENTICATE", "username": "root", "password": "rootpass1"})
+    asked = [(i, session.handle({"type": "FIND_BY_ID", "databaseName": "shop", "collectionName": "customers", "_id": i})) for i in ("1", "42", "no-such")]
+    return spark.createDataFrame([(i, a["status"], (a.get("object") or {}).get("c_name"), float(a["object"]["c_acctbal"]) if "object" in a else None) for i, a in asked], "_id string, status string, c_name string, c_acctbal double")
+
+
+QUERIES["find_by_id"] = find_by_id
+ORACLES["find_by_id"] = "SELECT i AS _id, CASE WHEN c_custkey IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS status, c_name, c_acctbal FROM (SELECT unnest(['1', '42', 'no-such']) AS i) LEFT JOIN customer ON i = CAST(c_custkey AS VARCHAR)"
+
+
+def save_delete_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BULK_SAVE, SAVE and DELETE requests, then what AGGREGATE gives."""
+    session = _engine(spark).session()
+    session.handle({"type": "AUTHENTICATE", "username": "root", "password": "rootpass1"})
+    ask = lambda kind, **more: session.handle({"type": kind, "databaseName": "shop", "collectionName": "nations"} | more)
+    ask("BULK_SAVE", objects=[{"_id": str(r["n_nationkey"]), "name": r["n_name"], "region": r["n_regionkey"]} for r in table(spark, sf_dir, "nation").collect()])
+    ask("SAVE", object={"_id": "3", "name": "renamed", "region": 1.0})
+    ask("DELETE", _id="7")
+    found = ask("AGGREGATE", aggregationSteps=[where(test("SMALLER_THAN", "region", 3)), mapped(add_field("label", {"type": "CONCAT", "operands": ["name", "--", "region"]}))])
+    return spark.createDataFrame([(r["_id"], r["label"]) for r in found["results"]], "_id string, label string")
+
+
+QUERIES["save_delete_aggregate"] = save_delete_aggregate
+ORACLES["save_delete_aggregate"] = "SELECT * FROM (SELECT CAST(n_nationkey AS VARCHAR) AS _id, CASE WHEN n_nationkey = 3 THEN 'renamed-1' ELSE n_name || '-' || n_regionkey END AS label FROM nation WHERE n_nationkey <> 7 AND (n_regionkey < 3 OR n_nationkey = 3))"
+
+
+def indexed_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter that an index answers, with later changes on top of the snapshot."""
+    engine = _engine(spark)
+    store = engine.catalog.create_collection("shop", "parts")
+    store.load(_texts(table(spark, sf_dir, "part"), "p_partkey", "p_size", "p_brand"), "json")
+    store.create_index("p_size")
+    store.save([{"_id": "1", "p_size": 7, "p_brand": "changed"}, {"_id": "new", "p_size": 7.0, "p_brand": "new"}])
+    return engine.aggregate("shop", "parts", [where(test("EQUALS", "p_size", 7))]).select(_field("_id", "string"), _field("p_brand", "string"))
+
+
+QUERIES["indexed_filter"] = indexed_filter
+ORACLES["indexed_filter"] = "SELECT CAST(p_partkey AS VARCHAR) AS _id, p_brand FROM part WHERE p_size = 7 AND p_partkey <> 1 UNION ALL SELECT '1', 'changed' UNION ALL SELECT 'new', 'new'"
+
+
+def indexed_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark)
+    store = engine.catalog.create_collection("shop", "parts")
+    store.load(_texts(table(spark, sf_dir, "part"), "p_partkey", "p_size"), "json")
+    store.create_index("p_size")
+    return engine.aggregate("shop", "parts", [{"type": "DISTINCT", "fieldName": "p_size"}]).select(_field("p_size", "long"))
+
+
+QUERIES["indexed_distinct"] = indexed_distinct
+ORACLES["indexed_distinct"] = "SELECT DISTINCT CAST(p_size AS BIGINT) AS p_size FROM part"
+
+# Advice and live queries
 
 
 def bulk_save_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of a batch's ids are inserts and which updates."""
-    batch = table(spark, sf_dir, "orders").where(F.col("o_custkey") % 7 == 0).select(F.col("o_custkey").alias("_id")).distinct()
-    have = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 2 == 0).select(F.col("c_custkey").alias("_id"))
-    return batch.join(have, "_id", "left_semi").withColumn("change", F.lit("updated")).unionByName(batch.join(have, "_id", "left_anti").withColumn("change", F.lit("inserted")))
+    """Which documents a batch inserts into a stored collection and which it updates: customers saved over suppliers of the same ids."""
+    store = _engine(spark).catalog.create_collection("shop", "parties")
+    store.load(_texts(table(spark, sf_dir, "supplier"), "s_suppkey", "s_name"), "json")
+    return store.save_table(_texts(table(spark, sf_dir, "customer"), "c_custkey", "c_name"), "json")
 
 
 QUERIES["bulk_save_classified"] = bulk_save_classified
-ORACLES["bulk_save_classified"] = "SELECT DISTINCT o_custkey AS _id, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) THEN 'updated' ELSE 'inserted' END AS change FROM orders WHERE o_custkey % 7 = 0"
+ORACLES["bulk_save_classified"] = "SELECT CAST(c_custkey AS VARCHAR) AS _id, CASE WHEN c_custkey IN (SELECT s_suppkey FROM supplier) THEN 'updated' ELSE 'inserted' END AS change FROM customer"
 
 
 def analyze_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,13 +419,12 @@ ORACLES["analyze_suggestions"] = (
 
 def listen_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A live count over a stored collection: its first result, then what is pushed after a change that matters and one that doesn't."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='docpipe-live-')}"
-    engine = Engine(spark, f"{root.rstrip('/')}/live-{uuid.uuid4().hex}", listen_interval="0 seconds")
-    store = engine.catalog.create_collection("live", "events")
+    engine = _engine(spark, "0 seconds")
+    store = engine.catalog.create_collection("shop", "events")
     store.load(table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("event_id").cast("string").alias("_id"), "event_type")).alias("json")), "json")
     pipeline = Pipeline.parse([where(test("EQUALS", "event_type", "click")), {"type": "COUNT"}])
     pushed: list[dict] = []
-    _, first = engine.listeners.add(lambda: engine.compile("live", "events", pipeline), [store.path], pipeline.sorted_at_end, pushed.append)
+    _, first = engine.listeners.add(lambda: engine.compile("shop", "events", pipeline), [store.path], pipeline.sorted_at_end, pushed.append)
     try:
         for added in ({"_id": "new-1", "event_type": "click"}, {"_id": "new-2", "event_type": "other"}):
             store.save([added])
