@@ -8,7 +8,8 @@ step. The proof needs merges whose parts always have lower ranks and products ma
 a vocabulary is loaded, and where they fail every word is merged step by step.
 
 Defined results: a null text counts as the empty text; the empty text has no tokens and decodes to the empty text; other
-columns are kept, except that columns named like an output are replaced; row order, repeated rows and null ids are kept.
+columns are kept, except that columns named like an output are replaced; row order, repeated rows and null ids are kept; a very
+long text is coded whole in one task; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import heapq
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,10 @@ _LAST = 0x2000  # added to the code point of a word's last symbol, which stands
 _OWN_WHITE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 _BEYOND_LATIN = re.compile(r"[^\x00-įı-ɏ]")
-_CACHED_CHUNKS = 250_000
-_CACHED_WORDS = 250_000
+_CACHED_CHUNKS = 150_000  # in the new and in the old table, each
+_CACHED_WORDS = 200_000
 _SHORT = 200
-_BATCH_BYTES = 6_000_000
+_BATCH_BYTES = 1_500_000
 
 
 def byte_symbols() -> list[str]:
@@ -100,8 +101,11 @@ class WordBpe:
         order = np.arange(len(pairs))
         self.sound = len(set(made.tolist())) == len(pairs) and bool(((self.rank[left] < order) & (self.rank[right] < order)).all())
         self.known_pairs: dict[int, bool] = {}
+        # A full table becomes the old one, from which what is met again is taken over.
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.old_cache: dict[str, tuple[bytes, str]] = {}
         self.word_cache: dict[str, tuple[bytes, str]] = {}
+        self.old_words: dict[str, tuple[bytes, str]] = {}
         symbols = byte_symbols()
         self.to_symbols = {b: s for b, s in enumerate(symbols)}
         own = self._valid_tokens(left, right, made) if self.sound else np.zeros(n, bool)
@@ -237,11 +241,10 @@ class WordBpe:
 
     def learn(self, chunks: set[str]) -> None:
         """Put chunks that aren't cached into the cache."""
-        cache, known = self.cache, self.word_cache
-        new = [c for c in chunks if c not in cache]
-        if len(cache) + len(new) > _CACHED_CHUNKS:
-            cache.clear()
-            new = list(chunks)
+        new = [c for c in chunks if c not in self.cache]
+        if len(self.cache) + len(new) > _CACHED_CHUNKS:
+            self.cache, self.old_cache, new = {}, self.cache, list(chunks)
+        cache, new = self.cache, _taken_over(self.cache, self.old_cache, new)
         words: dict[str, list[str]] = {}
         for c in new:
             if c in self.special:
@@ -250,11 +253,10 @@ class WordBpe:
                 cache[c] = self._coded(self.library.encode(c, add_special_tokens=False).ids)
             else:
                 words[c] = self.words.findall(c.lower())
-        fresh = {w for x in words.values() for w in x if w not in known}
-        if len(known) + len(fresh) > _CACHED_WORDS:
-            known.clear()
-            fresh = {w for x in words.values() for w in x}
-        todo = list(fresh)
+        fresh = {w for x in words.values() for w in x if w not in self.word_cache}
+        if len(self.word_cache) + len(fresh) > _CACHED_WORDS:
+            self.word_cache, self.old_words, fresh = {}, self.word_cache, {w for x in words.values() for w in x}
+        known, todo = self.word_cache, _taken_over(self.word_cache, self.old_words, fresh)
         known.update(zip(todo, map(self._coded, self.encode_words([self.shifted(w) for w in todo])), strict=True))
         for c, x in words.items():
             if len(x) == 1:
@@ -275,6 +277,18 @@ class WordBpe:
         return ids, decoded
 
 
+def _taken_over(into: dict, old: dict, keys: Iterable) -> list:
+    """Move what ``old`` has of ``keys`` and give the rest."""
+    left = []
+    for k in keys:
+        v = old.get(k)
+        if v is None:
+            left.append(k)
+        else:
+            into[k] = v
+    return left
+
+
 _LOADED: dict[str, WordBpe] = {}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,13 +14,15 @@ _SHIPPED: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (local runs and tests), one made for this session."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one made for this session, but on local masters only: elsewhere executors wouldn't share it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {sc.master} share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docpipe-"))
         have = sc._jsc.sc().getCheckpointDir()
     return have.get().rstrip("/")
