@@ -6,28 +6,27 @@ level; a rank directory (set bits before every block of 512) finds the place the
 rank per level, without decoding its neighbours.
 
 A segment file: magic ``DPDAC1``, bits, levels, then sizes, document ids, document offsets and the levels, all little-endian,
-and a CRC-32 of all before it. Files are written in ascending order of document id (null ids first, equal ids by text) and
-renamed into place when whole, so a task that is run again can only replace its own unfinished work; the manifest that
-:func:`write_tokens` returns lists the files of the attempts that counted.
+a CRC-32 of all before it, and a line feed. Files are written in ascending order of document id (null ids first, equal ids by
+text), one segment each, by Spark's own writer and committer: so any storage that Spark reaches will do, a task that is run
+again leaves nothing behind, and the names of the files order like the documents. They are read back in the same way.
 
 Defined results: a null text counts as empty; an empty text is just the end id; repeated rows are stored as often as they
-occur; an empty table gives no files.
+occur; a text of more than ``segment_tokens`` tokens is a segment of its own; an empty table gives no segments; columns other
+than doc_id and text are not stored. Ids are numbers, or texts of whole numbers.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docpipe.llm.bpe import byte_symbols, pieces
 from docpipe.llm.storage import fresh_path, ship, written
@@ -125,6 +124,14 @@ def pack_segment(doc_ids: list[int | None], sizes: np.ndarray, values: np.ndarra
     return body + struct.pack("<I", zlib.crc32(body))
 
 
+def head_of(data: bytes) -> tuple[int, int]:
+    """Documents and tokens of a segment, by its head."""
+    magic, _, _, n_docs, size = _HEAD.unpack_from(data)
+    if magic != MAGIC:
+        raise ValueError("not a segment file")
+    return n_docs, size
+
+
 class Segment:
     """A segment file's content: documents and their tokens, each directly addressable."""
 
@@ -171,7 +178,7 @@ class ByteBpe:
 
     _UNEASY = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\x1c-\x1f]")
     _BEYOND_LATIN = re.compile(r"[^\x00-ɏ]")
-    _KEPT = 800_000  # about 160 MB
+    _KEPT = 400_000  # of each of four tables, each at most about 80 MB
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -184,8 +191,11 @@ class ByteBpe:
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.symbols = dict(enumerate(byte_symbols()))
         self.feed = self._ids("\n")
-        self.inner: dict[str, bytes] = {}  # after a space
-        self.first: dict[str, bytes] = {}  # at the start of a line
+        # After a space, and at the start of a line. A full table becomes the old one, from which what is used again is taken over.
+        self.inner: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        self.old_inner: dict[str, bytes] = {}
+        self.old_first: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -204,22 +214,22 @@ class ByteBpe:
             return b""
         if self._UNEASY.search(text) or any(s in text for s in self.special):
             return self._ids(text)
+        if len(self.inner) > self._KEPT:
+            self.old_inner, self.inner = self.inner, {}
+        if len(self.first) > self._KEPT:
+            self.old_first, self.first = self.first, {}
         inner, first, out = self.inner, self.first, []
-        if len(inner) > self._KEPT:
-            inner.clear()
-        if len(first) > self._KEPT:
-            first.clear()
         for line in text.split("\n"):
             head, *rest = line.split(" ")
             if (got := first.get(head)) is None:
-                got = first[head] = self._piece(head)
+                got = first[head] = self.old_first.get(head) or self._piece(head)
             out.append(got)
             try:
                 out += list(map(inner.__getitem__, rest))
             except KeyError:
                 for w in rest:
                     if (got := inner.get(w)) is None:
-                        got = inner[w] = self._piece(" " + w)
+                        got = inner[w] = self.old_inner.get(w) or self._piece(" " + w)
                     out.append(got)
             out.append(self.feed)
         out.pop()
@@ -235,50 +245,35 @@ def byte_bpe(path: str) -> ByteBpe:
     return _LOADED[path]
 
 
-def _save(uri: str, data: bytes) -> None:
-    store, path = pyarrow.fs.FileSystem.from_uri(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(path + ".part") as f:
-        f.write(data)
-    store.move(path + ".part", path)
-
-
-def _load(uri: str) -> bytes:
-    store, path = pyarrow.fs.FileSystem.from_uri(uri)
-    with store.open_input_stream(path) as f:
-        return f.read()
+MANIFEST = "segment_part int, segment_no int, path string, n_docs long, n_tokens long, first_token long"
 
 
-MANIFEST = "segment_part int, segment_no int, path string, n_docs long, n_tokens long, first_token long"
+def _files(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("path", "content")
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str | None = None, segment_tokens: int = 1 << 22, bits: int = 8) -> DataFrame:
-    """Encode ``docs`` (doc_id, text) and write segment files below ``out``; returns the manifest, in order of its first token.
+    """Encode ``docs`` (doc_id, text) and write segment files into the new folder ``out``; returns the manifest, in order of its first token.
 
     ``out`` must be a folder that all executors share; by default a new one in ``spark.checkpoint.dir``.
     """
     spark = docs.sparkSession
     out = out or fresh_path(spark, "tokens")
-    out = out if re.match(r"\w+:/", out) else f"file://{out}"
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        codec, part, number = byte_bpe(tokenizer), TaskContext.get().partitionId(), 0
+        codec = byte_bpe(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         ids: list[int | None] = []
         blobs: list[bytes] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, blobs, held, number
+            nonlocal ids, blobs, held
             sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-            path = f"{out}/part-{part:06d}/segment-{number:06d}-{uuid.uuid4().hex}.dac"
-            _save(path, pack_segment(ids, sizes, np.frombuffer(b"".join(blobs), "<u4"), bits))
-            row = {"segment_part": [part], "segment_no": [number], "path": [path], "n_docs": [len(ids)], "n_tokens": [held]}
-            ids, blobs, held, number = [], [], 0, number + 1
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("segment_part", pa.int32()), ("segment_no", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            data = pack_segment(ids, sizes, np.frombuffer(b"".join(blobs), "<u4"), bits)
+            ids, blobs, held = [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["content"])
 
         for batch in batches:
             for piece in pieces(batch, "text"):
@@ -291,8 +286,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str | None =
         if ids:
             yield flush()
 
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(int(m[1]), int(m[2]), path, *head_of(data.as_py())) for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True) if (m := re.search(r"part-(\d+)-.*-c(\d+)\.\w+$", path)) and len(data.as_buffer())]
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["segment_part", "segment_no", "path", "n_docs", "n_tokens"])
+
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    found = written(ordered.mapInArrow(run, MANIFEST.rpartition(",")[0]), "manifest")
+    segments = ordered.mapInArrow(run, "content binary").select(F.col("content").cast("string"))
+    # Bytes as they are, and one record for each file.
+    segments.write.option("compression", "none").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(out)
+    found = written(_files(spark, out).mapInArrow(heads, MANIFEST.rpartition(",")[0]), "manifest")
     # Places of first tokens: sums of whole parts first, then inside each part, so no task sees all segments.
     parts = found.groupBy("segment_part").agg(F.sum("n_tokens").alias("part_tokens"))
     grouped = parts.withColumn("block", F.floor(F.col("segment_part") / 1000))
@@ -309,23 +313,32 @@ def read_tokens(manifest: DataFrame, each: Callable[[np.ndarray], dict] | None =
 
     ``each`` turns a document's ids into more columns, whose types ``columns`` names; without it, ``token_ids`` follows.
     """
-    ship(manifest.sparkSession)
+    spark = manifest.sparkSession
+    ship(spark)
     more = columns if each else "token_ids array<long>"
-    names = ["doc_id", "start", "n_tokens", *[x.split()[0] for x in more.split(",")]]
+    names = ["path", "doc_id", "at", "n_tokens", *[x.split()[0] for x in more.split(",")]]
+    schema = f"path string, doc_id long, at long, n_tokens long, {more}"
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+    first = manifest.first()
+    if first is None:
+        return spark.createDataFrame([], f"doc_id long, start long, n_tokens long, {more}")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, first in zip(frame["path"], frame["first_token"], strict=True):
-                rows = []
-                for d, at, ids in Segment(_load(path)).documents():
-                    rows.append({"doc_id": d, "start": first + at, "n_tokens": len(ids)} | (each(ids) if each else {"token_ids": ids}))
-                out = pd.DataFrame(rows, columns=names)
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
-
-    # A number of its own: by size, the rows of a manifest would all go to one task.
-    dealt = manifest.select("path", "first_token").repartition(max(1, min(manifest.count(), 100_000)), "path")
-    return dealt.mapInPandas(run, f"doc_id long, start long, n_tokens long, {more}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                if not len(data.as_buffer()):
+                    continue
+                rows, held = [], 0
+                for d, at, ids in Segment(data.as_py()[:-1]).documents():
+                    rows.append({"path": path, "doc_id": d, "at": at, "n_tokens": len(ids)} | (each(ids) if each else {"token_ids": ids}))
+                    held += 0 if each else len(ids)
+                    if held > 1_000_000:
+                        yield pa.RecordBatch.from_pylist(rows, kinds)
+                        rows, held = [], 0
+                yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    found = _files(spark, first["path"].rpartition("/")[0]).mapInArrow(run, schema)
+    return found.join(manifest.select("path", "first_token"), "path").select("doc_id", (F.col("first_token") + F.col("at")).alias("start"), *names[3:])
 
 
 def crc(ids: np.ndarray) -> dict:
@@ -334,4 +347,4 @@ def crc(ids: np.ndarray) -> dict:
 
 def open_segment(spark: SparkSession, path: str) -> Segment:
     """A segment for random access on the driver."""
-    return Segment(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
+    return Segment(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])[:-1])
