@@ -4,10 +4,13 @@ A *partial partition* is one way to deal some groups into k sets; its spread is
 the largest spread are combined again and again, the one's largest set with the other's smallest, until one is left. Groups
 (rows of equal text) are dealt by hash to parts of bounded size; each part is differenced in one task, and the parts' own
 partial partitions, k sums each, are differenced in the same way in rounds until one is left, which fixes the shard of every
-set of every part.
+set of every part. A group as large as the mean of what is left gets a shard to itself first, as a text of very many copies does;
+else its shard would have to take a set of every part besides.
 
 Defined results: a null text has no bytes and CRC 0, and null texts are one group; rows of equal text always share a shard;
-repeated rows and null ids are kept; an empty table gives no rows; shards may stay empty if there are fewer groups.
+repeated rows and null ids are kept; groups of equal size go by their hash, rows of equal order by theirs, and rows equal in both
+get slots in any order; a very long text is one row whose size counts; an empty table gives no rows; shards may stay empty if
+there are fewer groups; the text is not kept, other columns are, except that those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -75,6 +78,17 @@ def _rounds(parts: DataFrame, k: int, fan_in: int) -> DataFrame:
     return now.select(F.col("low_part").alias("part"), F.col("low_set").alias("from_set"), F.col("set_no").cast("int").alias("shard"))
 
 
+def _alone(largest: list, total: int, k: int) -> list:
+    """Of the largest groups, in order, those that get a shard to themselves."""
+    out = []
+    for g in largest:
+        if len(out) == k - 1 or g["bytes"] * (k - len(out)) < total:
+            break
+        out.append(g)
+        total -= g["bytes"]
+    return out
+
+
 def assign(docs: DataFrame, shards: int = 24, text: str = "text", order: Column | None = None, groups_in_part: int = 100_000, fan_in: int = 256, rows_in_part: int = 200_000) -> DataFrame:
     """Add size, text_crc32, shard and slot (place in its shard, without gaps) to each row; the text itself is not kept."""
     k = shards
@@ -94,8 +108,15 @@ def assign(docs: DataFrame, shards: int = 24, text: str = "text", order: Column
     rows = written(rows, "shard-rows")
     groups = rows.groupBy(f"{p}key", "size", "text_crc32").agg((F.count(F.lit(1)) * F.col("size")).alias("bytes"))
     groups = groups.select(F.col(f"{p}key").alias("_key"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "bytes")
+    groups = written(groups, "shard-texts")
     total = rows.count()
     parts = max(1, -(-total // groups_in_part))
+    names = ("_key", "_size", "_crc")
+    alone = _alone(groups.orderBy(F.desc("bytes"), *names).limit(k).collect(), groups.agg(F.sum("bytes")).first()[0] or 0, k)
+    own = spark.createDataFrame([(*[g[c] for c in names], k - 1 - n) for n, g in enumerate(alone)], "_key long, _size long, _crc long, shard int")
+    if alone:
+        k -= len(alone)
+        groups = groups.join(F.broadcast(own.drop("shard")), list(names), "left_anti")
     groups = groups.withColumn("part", F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(parts)))
 
     def differenced(frame: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +129,7 @@ def assign(docs: DataFrame, shards: int = 24, text: str = "text", order: Column
 
     dealt = written(groups.groupBy("part").applyInPandas(differenced, "_key long, _size long, _crc long, bytes long, part long, from_set long"), "shard-groups")
     sums = dealt.groupBy("part", F.col("from_set").alias("set_no")).agg(F.sum("bytes").alias("bytes"))
-    shard_of = dealt.join(_rounds(sums, k, fan_in), ["part", "from_set"]).select(F.col("_key").alias(f"{p}key"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard")
+    shard_of = dealt.join(_rounds(sums, k, fan_in), ["part", "from_set"]).select(*names, "shard").unionAll(own).select(F.col("_key").alias(f"{p}key"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard")
     placed = rows.join(shard_of, [f"{p}key", "size", "text_crc32"])
     # Slots: places inside many small chunks of a shard first, then the chunks' starts; no task sorts a whole shard.
     chunks = max(1, -(-total // rows_in_part))
