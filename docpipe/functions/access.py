@@ -317,16 +317,16 @@ def is_documents(df: DataFrame) -> bool:
     return isinstance(t, T.MapType) and isinstance(t.valueType, T.VariantType)
 
 
-def parsed(df: DataFrame, json_column: str) -> DataFrame:
-    """``df`` with its JSON texts as a variant ``v``, NULL where they are no object. Of equal keys in an object the last one counts."""
+def parsed(df: DataFrame, json_column: str) -> Column:
+    """The JSON texts of a column of ``df`` as maps, NULL where they are no object. Of equal keys in an object the last one counts."""
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    text = F.col(quoted(json_column))
-    return df.select(F.when(F.ltrim(F.translate(text, "\t\r\n", "   ")).startswith("{"), F.try_parse_json(text)).alias("v"))
+    return F.try_variant_get(F.try_parse_json(F.col(quoted(json_column))), "$", "map<string,variant>")
 
 
 def documents(df: DataFrame, json_column: str) -> DataFrame:
     """JSON texts of objects as a collection of documents; malformed texts are left out."""
-    return parsed(df, json_column).where(F.col("v").isNotNull()).select(F.variant_get("v", "$", "map<string,variant>").alias(DOC))
+    # Not a filter: that would be pushed below the parsing and parse every text once more.
+    return df.select(F.explode(F.array_compact(F.array(parsed(df, json_column)))).alias(DOC))
 
 
 def to_rows(df: DataFrame) -> list[dict]:

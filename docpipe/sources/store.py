@@ -25,7 +25,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from docpipe.functions.access import DOC, DocumentAccess, canonical_literal, parsed
+from docpipe.functions.access import DOC, DocumentAccess, canonical_literal, documents, parsed
 from docpipe.functions.values import kind_of
 from docpipe.operators.predicates import Conjunction, FieldTest, Test
 from docpipe.sources.changelog import latest
@@ -228,11 +228,10 @@ class CollectionStore:
             self._commit(at, self._prepared(df, json_column, at["seq"] + 1), 1)
 
     def _prepared(self, df: DataFrame, json_column: str, seq: int) -> DataFrame:
-        objects = parsed(df, json_column)
-        bad = objects.where(F.col("v").isNull()).count()
+        bad = df.where(parsed(df, json_column).isNull()).count()
         if bad:
             _log.warning("%s: %d malformed texts are left out", self.path, bad)
-        docs = objects.where(F.col("v").isNotNull()).select(F.variant_get("v", "$", "map<string,variant>").alias(DOC))
+        docs = documents(df, json_column)
         own = F.try_variant_get(F.try_element_at(F.col(DOC), F.lit("_id")), "$", "string")
         named = docs.withColumn("_id", F.coalesce(own, F.expr("uuid()")))
         whole = F.map_concat(F.map_filter(F.col(DOC), lambda k, _: k != "_id"), F.create_map(F.lit("_id"), F.col("_id").cast("variant")))
