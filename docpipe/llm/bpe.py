@@ -104,8 +104,10 @@ class WordBpe:
         # A full table becomes the old one, from which what is met again is taken over.
         self.cache: dict[str, tuple[bytes, str]] = {}
         self.old_cache: dict[str, tuple[bytes, str]] = {}
-        self.word_cache: dict[str, tuple[bytes, str]] = {}
-        self.old_words: dict[str, tuple[bytes, str]] = {}
+        self.word_ids: dict[str, bytes] = {}
+        self.word_text: dict[str, str] = {}
+        self.old_ids: dict[str, bytes] = {}
+        self.old_text: dict[str, str] = {}
         symbols = byte_symbols()
         self.to_symbols = {b: s for b, s in enumerate(symbols)}
         own = self._valid_tokens(left, right, made) if self.sound else np.zeros(n, bool)
@@ -253,27 +255,39 @@ class WordBpe:
                 cache[c] = self._coded(self.library.encode(c, add_special_tokens=False).ids)
             else:
                 words[c] = self.words.findall(c.lower())
-        fresh = {w for x in words.values() for w in x if w not in self.word_cache}
-        if len(self.word_cache) + len(fresh) > _CACHED_WORDS:
-            self.word_cache, self.old_words, fresh = {}, self.word_cache, {w for x in words.values() for w in x}
-        known, todo = self.word_cache, _taken_over(self.word_cache, self.old_words, fresh)
-        known.update(zip(todo, map(self._coded, self.encode_words([self.shifted(w) for w in todo])), strict=True))
+        self.learn_words({w for x in words.values() for w in x})
         for c, x in words.items():
-            if len(x) == 1:
-                cache[c] = known[x[0]]
-            else:
-                parts = [known[w] for w in x]
-                cache[c] = b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+            cache[c] = b"".join([self.word_ids[w] for w in x]), " ".join([self.word_text[w] for w in x])
+
+    def learn_words(self, words: set[str]) -> None:
+        """Put words that aren't cached into the cache."""
+        fresh = {w for w in words if w not in self.word_ids}  # a difference from a view would go through the whole table
+        if len(self.word_ids) + len(fresh) > _CACHED_WORDS:
+            self.old_ids, self.old_text, self.word_ids, self.word_text, fresh = self.word_ids, self.word_text, {}, {}, words
+        again = fresh & self.old_ids.keys()
+        self.word_ids.update((w, self.old_ids[w]) for w in again)
+        self.word_text.update((w, self.old_text[w]) for w in again)
+        todo = list(fresh - again)
+        for w, (ids, text) in zip(todo, map(self._coded, self.encode_words([self.shifted(w) for w in todo])), strict=True):
+            self.word_ids[w], self.word_text[w] = ids, text
+
+    def _falls_apart(self, text: str) -> bool:
+        """Whether the words of the text are those of its chunks: nothing to normalise, no special tokens, usual white space."""
+        return ("<|" not in text or not self.special_pattern) and (text.isascii() or not _BEYOND_LATIN.search(text)) and not _SEPARATORS.search(text)
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
         """For each text its ids as little-endian 32-bit integers, and their decoded text."""
-        chunks = [self.chunks(t) if t else [] for t in texts]
-        self.learn({c for x in chunks for c in x})
-        ids, decoded, get = [], [], self.cache.__getitem__
-        for x in chunks:
-            pairs = [p for p in map(get, x) if p[0]]
-            ids.append(b"".join([p[0] for p in pairs]))
-            decoded.append(" ".join([p[1] for p in pairs]))
+        ids, decoded = [b""] * len(texts), [""] * len(texts)
+        plain = {n: self.words.findall(t.lower()) for n, t in enumerate(texts) if t and self._falls_apart(t)}
+        self.learn_words(set().union(*plain.values()))
+        id_of, text_of = self.word_ids.__getitem__, self.word_text.__getitem__
+        for n, x in plain.items():
+            ids[n], decoded[n] = b"".join(map(id_of, x)), " ".join(map(text_of, x))
+        chunks = {n: self.chunks(t) for n, t in enumerate(texts) if t and n not in plain}
+        self.learn(set().union(*chunks.values()))
+        for n, x in chunks.items():
+            pairs = [p for p in map(self.cache.__getitem__, x) if p[0]]
+            ids[n], decoded[n] = b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])
         return ids, decoded
 
 

@@ -6,7 +6,8 @@ either side don't depend on the other side. Two neighbouring chunks are spliced
 both encodings, with offsets, do have a token boundary. An overlap without such a place is widened, at last to the end of the
 text. A vocabulary without this property is never chunked.
 
-Defined results: a null text counts as empty, 0 bytes and 0 tokens; rows, repeated rows and null ids are kept as they are.
+Defined results: a null text counts as empty, 0 bytes and 0 tokens; rows, repeated rows and null ids are kept as they are; an
+empty table gives no rows; extra columns are kept, those named like an output are replaced.
 """
 
 from __future__ import annotations

@@ -87,6 +87,19 @@ def test_counts_are_the_librarys(docs):
             assert (r.n_bytes, r.n_tokens) == (len((r.text or "").encode()), len(s.encode(r.text or "")))
 
 
+def test_empty_tables_clashing_names_and_texts_longer_than_a_segment(spark):
+    schema = "doc_id long, text string, n_tokens string, path string, content string, Token_Ids int"
+    empty = spark.createDataFrame([], schema)
+    assert bpe.encode_documents(empty, vocabulary("word_bpe_49k.json")).count() == 0
+    assert counts.count_tokens(empty, vocabulary("piece_bpe_32k.model")).count() == 0
+    assert dac.read_tokens(dac.write_tokens(empty, vocabulary("byte_bpe_50k.json"), 2)).count() == 0
+    rows = [(4, "long words " * 4000, "n", "p", "c", 1), (None, "x", "n", "p", "c", 1), (4, "long words " * 4000, "n", "p", "c", 1), (5, None, "n", "p", "c", 1)]
+    t = library("byte_bpe_50k.json")
+    got = dac.read_tokens(dac.write_tokens(spark.createDataFrame(rows, schema), vocabulary("byte_bpe_50k.json"), 2, segment_tokens=100)).orderBy("start").collect()
+    assert [(r.doc_id, r.token_ids) for r in got] == [(d, t.encode(x or "", add_special_tokens=False).ids + [2]) for d, x in ((None, "x"), (4, rows[0][1]), (4, rows[0][1]), (5, None))]
+    assert [r.start for r in got] == [0, 2, 2 + got[1].n_tokens, 2 + 2 * got[1].n_tokens]
+
+
 def test_pipeline_matches_plain_python(spark, tmp_path):
     import corpus_pipeline
     from tests.llm.test_pairs_urls_leaks import brute_leaks
