@@ -176,9 +176,9 @@ class ByteBpe:
     stands around them; such parts are kept with their ids. Other texts go to the library whole.
     """
 
-    _UNEASY = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\x1c-\x1f]")
+    _SIGNS = frozenset(".,;:!?")
     _BEYOND_LATIN = re.compile(r"[^\x00-ɏ]")
-    _KEPT = 400_000  # of each of four tables, each at most about 80 MB
+    _KEPT = 300_000  # of each of four tables, each at most about 50 MB
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -190,12 +190,13 @@ class ByteBpe:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.symbols = dict(enumerate(byte_symbols()))
+        self.space = self.symbols[32]
         self.feed = self._ids("\n")
-        # After a space, and at the start of a line. A full table becomes the old one, from which what is used again is taken over.
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.old_inner: dict[str, bytes] = {}
-        self.old_first: dict[str, bytes] = {}
+        # After a space, or after a line feed that stands before the key. A full table becomes the old one, from which what is used again is taken over.
+        self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # what the pattern cuts these into
+        self.old_parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -203,37 +204,53 @@ class ByteBpe:
     def _piece(self, text: str) -> bytes:
         if self._BEYOND_LATIN.search(text):
             return self._ids(text)
-        ids: list[int] = []
-        for p in self.pattern.findall(text):
-            ids += [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.symbols))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self._UNEASY.search(text) or any(s in text for s in self.special):
-            return self._ids(text)
-        if len(self.inner) > self._KEPT:
-            self.old_inner, self.inner = self.inner, {}
-        if len(self.first) > self._KEPT:
-            self.old_first, self.first = self.first, {}
-        inner, first, out = self.inner, self.first, []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            if (got := first.get(head)) is None:
-                got = first[head] = self.old_first.get(head) or self._piece(head)
-            out.append(got)
-            try:
-                out += list(map(inner.__getitem__, rest))
-            except KeyError:
-                for w in rest:
-                    if (got := inner.get(w)) is None:
-                        got = inner[w] = self.old_inner.get(w) or self._piece(" " + w)
-                    out.append(got)
-            out.append(self.feed)
-        out.pop()
-        return b"".join(out)
+        return b"".join([self._part(p.encode().decode("latin-1").translate(self.symbols)) for p in self.pattern.findall(text)])
+
+    def _part(self, part: str) -> bytes:
+        """Ids of what the pattern cuts, given in the vocabulary's symbols."""
+        if (got := self.parts.get(part)) is None:
+            if (got := self.old_parts.get(part)) is None:
+                ids = [t.id for t in self.model.tokenize(part)]
+                got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.parts) > self._KEPT:
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[part] = got
+        return got
+
+    def _chunk(self, space: str, word: str) -> bytes:
+        """What stands between white space, most of it letters with one sign at most, which the pattern needn't cut and which are their own symbols."""
+        if word.isascii():
+            if word.isalpha():
+                return self._part(self.space + word if space else word)
+            if word[-1:] in self._SIGNS and (head := word[:-1]).isalpha():
+                return self._part(self.space + head if space else head) + self._part(word[-1])
+        return self._piece(space + word)
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Put chunks that aren't in the table into it."""
+        fresh = {c for c in chunks if c not in self.chunks}  # a difference from a view would go through the whole table
+        if len(self.chunks) + len(fresh) > self._KEPT:
+            self.old_chunks, self.chunks, fresh = self.chunks, {}, chunks
+        again = fresh & self.old_chunks.keys()
+        self.chunks.update((c, self.old_chunks[c]) for c in again)
+        for c in fresh - again:
+            self.chunks[c] = self.feed + self._chunk("", c[1:]) if c[:1] == "\n" else self._chunk(" ", c)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out, cut = [b""] * len(texts), {}
+        for n, text in enumerate(texts):
+            if not text:
+                continue
+            # White space other than single spaces and line feeds between other characters, or special strings.
+            if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(s in text for s in self.special):
+                out[n] = self._ids(text)
+            else:
+                out[n], *cut[n] = text.replace("\n", " \n").split(" ")
+        self._learn(set().union(*cut.values()))
+        for n, chunks in cut.items():
+            out[n] = self._chunk("", out[n]) + b"".join(map(self.chunks.__getitem__, chunks))
+        return out
 
 
 _LOADED: dict[str, ByteBpe] = {}
@@ -249,7 +266,7 @@ MANIFEST = "segment_part int, segment_no int, path string, n_docs long, n_tokens
 
 
 def _files(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("path", "content").where(F.length("content") > 0)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str | None = None, segment_tokens: int = 1 << 22, bits: int = 8) -> DataFrame:
@@ -277,9 +294,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str | None =
 
         for batch in batches:
             for piece in pieces(batch, "text"):
-                for d, t in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
+                for d, coded in zip(piece.column("doc_id").to_pylist(), codec.encode(piece.column("text").to_pylist()), strict=True):
                     ids.append(d)
-                    blobs.append(codec.encode(t) + end)
+                    blobs.append(coded + end)
                     held += len(blobs[-1]) // 4
                     if held >= segment_tokens:
                         yield flush()
@@ -288,7 +305,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str | None =
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(int(m[1]), int(m[2]), path, *head_of(data.as_py())) for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True) if (m := re.search(r"part-(\d+)-.*-c(\d+)\.\w+$", path)) and len(data.as_buffer())]
+            found = [(int(m[1]), int(m[2]), path, *head_of(data.as_py())) for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True) if (m := re.search(r"part-(\d+)-.*-c(\d+)\.\w+$", path))]
             columns = list(zip(*found, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["segment_part", "segment_no", "path", "n_docs", "n_tokens"])
 
@@ -296,7 +313,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str | None =
     segments = ordered.mapInArrow(run, "content binary").select(F.col("content").cast("string"))
     # Bytes as they are, and one record for each file.
     segments.write.option("compression", "none").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(out)
-    found = written(_files(spark, out).mapInArrow(heads, MANIFEST.rpartition(",")[0]), "manifest")
+    files = _files(spark, out).select("path", F.substring("content", 1, _HEAD.size).alias("content"))
+    found = written(files.mapInArrow(heads, MANIFEST.rpartition(",")[0]), "manifest")
     # Places of first tokens: sums of whole parts first, then inside each part, so no task sees all segments.
     parts = found.groupBy("segment_part").agg(F.sum("n_tokens").alias("part_tokens"))
     grouped = parts.withColumn("block", F.floor(F.col("segment_part") / 1000))
@@ -326,23 +344,31 @@ def read_tokens(manifest: DataFrame, each: Callable[[np.ndarray], dict] | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                if not len(data.as_buffer()):
-                    continue
-                rows, held = [], 0
+                columns: dict[str, list] = {n: [] for n in names[1:]}
+                held = 0
                 for d, at, ids in Segment(data.as_py()[:-1]).documents():
-                    rows.append({"path": path, "doc_id": d, "at": at, "n_tokens": len(ids)} | (each(ids) if each else {"token_ids": ids}))
-                    held += 0 if each else len(ids)
+                    more_of = each(ids) if each else {"token_ids": ids}
+                    for n, v in (("doc_id", d), ("at", at), ("n_tokens", len(ids)), *more_of.items()):
+                        columns[n].append(v)
+                    held += 1 if each else len(ids)
                     if held > 1_000_000:
-                        yield pa.RecordBatch.from_pylist(rows, kinds)
-                        rows, held = [], 0
-                yield pa.RecordBatch.from_pylist(rows, kinds)
+                        yield made(path, columns)
+                        held = 0
+                yield made(path, columns)
+
+    def made(path: str, columns: dict[str, list]) -> pa.RecordBatch:
+        n = len(columns["doc_id"])
+        out = pa.RecordBatch.from_arrays([pa.array(x, kinds.field(c).type) for c, x in ({"path": [path] * n} | columns).items()], schema=kinds)
+        for x in columns.values():
+            x.clear()
+        return out
 
     found = _files(spark, first["path"].rpartition("/")[0]).mapInArrow(run, schema)
     return found.join(manifest.select("path", "first_token"), "path").select("doc_id", (F.col("first_token") + F.col("at")).alias("start"), *names[3:])
 
 
 def crc(ids: np.ndarray) -> dict:
-    return {"ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())}
+    return {"ids_crc32": zlib.crc32(ids.astype("<u4"))}
 
 
 def open_segment(spark: SparkSession, path: str) -> Segment:
