@@ -77,10 +77,11 @@ class Codes:
     def build(cls, values: np.ndarray, bits: int = 8) -> Codes:
         if bits not in (8, 16):
             raise ValueError("codes of 8 or 16 bits")
-        rest, levels = values.astype(np.uint64), []
+        own = np.uint32 if values.dtype == np.dtype("<u4") else np.uint64  # half the memory for token ids
+        rest, levels = values.astype(own), []
         kind = np.uint8 if bits == 8 else np.dtype("<u2")
         while len(rest) or not levels:
-            codes, rest = (rest & np.uint64((1 << bits) - 1)).astype(kind), rest >> np.uint64(bits)
+            codes, rest = (rest & own((1 << bits) - 1)).astype(kind), rest >> own(bits)
             more = rest > 0
             levels.append(Level.build(codes, more))
             rest = rest[more]
@@ -178,7 +179,7 @@ class ByteBpe:
 
     _SIGNS = frozenset(".,;:!?")
     _BEYOND_LATIN = re.compile(r"[^\x00-ɏ]")
-    _KEPT = 300_000  # of each of four tables, each at most about 50 MB
+    _CHUNKS, _PARTS = 80_000, 150_000  # of each of two tables, at most about 17 and 30 MB
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -212,7 +213,7 @@ class ByteBpe:
             if (got := self.old_parts.get(part)) is None:
                 ids = [t.id for t in self.model.tokenize(part)]
                 got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.parts) > self._KEPT:
+            if len(self.parts) > self._PARTS:
                 self.old_parts, self.parts = self.parts, {}
             self.parts[part] = got
         return got
@@ -229,7 +230,7 @@ class ByteBpe:
     def _learn(self, chunks: set[str]) -> None:
         """Put chunks that aren't in the table into it."""
         fresh = {c for c in chunks if c not in self.chunks}  # a difference from a view would go through the whole table
-        if len(self.chunks) + len(fresh) > self._KEPT:
+        if len(self.chunks) + len(fresh) > self._CHUNKS:
             self.old_chunks, self.chunks, fresh = self.chunks, {}, chunks
         again = fresh & self.old_chunks.keys()
         self.chunks.update((c, self.old_chunks[c]) for c in again)
@@ -269,7 +270,7 @@ def _files(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("path", "content").where(F.length("content") > 0)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str | None = None, segment_tokens: int = 1 << 22, bits: int = 8) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str | None = None, segment_tokens: int = 1 << 21, bits: int = 8) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write segment files into the new folder ``out``; returns the manifest, in order of its first token.
 
     ``out`` must be a folder that all executors share; by default a new one in ``spark.checkpoint.dir``.
