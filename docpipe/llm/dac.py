@@ -179,7 +179,7 @@ class ByteBpe:
 
     _SIGNS = frozenset(".,;:!?")
     _BEYOND_LATIN = re.compile(r"[^\x00-ɏ]")
-    _CHUNKS, _PARTS = 80_000, 150_000  # of each of two tables, at most about 17 and 30 MB
+    _CHUNKS, _PARTS = 160_000, 200_000  # of each of two tables, at most about 35 and 40 MB
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
