@@ -82,7 +82,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("item_id").alias("class_id"), F.inline("items")).select("doc_id", "item_id", "n_equal", "first_word", "class_id")
 
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
