@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docpipe.llm.bpe import pieces
 from docpipe.llm.graph import components
 from docpipe.llm.names import free_prefix
-from docpipe.llm.storage import shared_dir, ship, written
+from docpipe.llm.storage import shared_dir, ship, sieved, written
 
 BANDS, ROWS, BLOCK, BLOCK_BYTES, HUBS = 22, 4, 500, 16_000_000, 8
 _WORDS_IN_SHINGLE = 5
@@ -199,6 +199,8 @@ def _number_of(ordered: Column) -> Column:
 
 def _compared(tasks: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links (a, a_set, b, b_set) of the sets that meet in a task. tasks: (first_id, s1, s2, tasks), docs: (doc_id, text)."""
+    tasks = written(tasks, "minhash-tasks")
+    docs = sieved(docs, "doc_id", tasks, "first_id")  # most texts share no bucket and stay where they are
     dealt = tasks.join(docs, F.col("first_id") == F.col("doc_id")).select("first_id", "s1", "s2", "tasks", "text")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +287,7 @@ def find_components(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     buckets = buckets.where(F.col("size") > 1).groupBy("size", "bytes", "low", "mark", "mark2").agg(F.min("bucket").alias("bucket"))
     n = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("bytes") / block_bytes), F.lit(1)).cast("int")
     buckets = written(buckets.select("bucket", "size", F.least(n, F.col("size").cast("int")).alias("n")), "minhash-buckets")
-    met = keyed.join(buckets, "bucket").withColumn("own", F.pmod(member, F.col("n")).cast("int"))
+    met = sieved(keyed, "bucket", buckets, "bucket").join(buckets, "bucket").withColumn("own", F.pmod(member, F.col("n")).cast("int"))
     is_hub = (F.col("n") > 1) & (F.pmod(F.xxhash64(F.lit(2), "s1", "s2"), F.ceil(F.col("size") / hubs)) == 0)
     task = lambda x, y: F.struct(F.col("bucket").alias("bucket"), x.alias("x"), y.alias("y"))
     first = F.when(is_hub, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: task(k, k))).otherwise(F.array(task(F.col("own"), F.col("own"))))

@@ -8,7 +8,10 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+#: Bits for each key of a sieve, and 64-bit words of one at most (2 MB).
+SIEVE_BITS, SIEVE_WORDS = 16, 1 << 18
 
 _SHIPPED: dict[str, str] = {}
 
@@ -44,6 +47,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sieved(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, most: int = SIEVE_WORDS) -> DataFrame:
+    """``df`` with all rows whose ``key`` is in ``wanted``, and without most of the others: for use before a join that shuffles.
+
+    Both keys are of one type. A bit for the hash of each wanted key is broadcast, in ``most`` words at most, so beyond about a
+    million keys more rows stay; a join has to follow in any case.
+    """
+    words = min(most, wanted.count() * SIEVE_BITS // 64 + 1)
+
+    def place(of: str) -> tuple[Column, Column]:
+        at = F.pmod(F.xxhash64(of), F.lit(words * 64))
+        return F.shiftright(at, 6).cast("int"), at.bitwiseAND(63).cast("int")
+
+    i, n = place(wanted_key)
+    held = wanted.select(i.alias("id"), n.alias("n")).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, n)")).alias("word"))
+    whole = df.sparkSession.range(words).join(held, "id", "left").select("id", F.coalesce("word", F.lit(0)).alias("word"))
+    bits = whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "word"))), lambda x: x["word"]).alias("_sieve"))
+    i, n = place(key)
+    return df.join(F.broadcast(bits), F.getbit(F.get("_sieve", i), n) == 1, "left_semi")
+
+
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package: once per application, as a zip that Spark sends to executors."""
     app = spark.sparkContext.applicationId
