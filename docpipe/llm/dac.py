@@ -24,8 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from docpipe.llm.bpe import byte_symbols, pieces
@@ -103,10 +102,11 @@ class Codes:
 
     def all(self) -> np.ndarray:
         """Every value, level by level."""
-        out, todo, shift = np.zeros(self.size, np.int64), np.arange(self.size), 0
-        for level in self.levels:
-            out[todo] |= level.codes.astype(np.int64) << shift
-            todo, shift = todo[np.unpackbits(level.bits, count=len(level.codes), bitorder="little").view(bool)], shift + self.bits
+        out, todo, shift = self.levels[0].codes.astype(np.int64), None, 0
+        for level, deeper in zip(self.levels, self.levels[1:], strict=False):
+            on = np.flatnonzero(np.unpackbits(level.bits, count=len(level.codes), bitorder="little"))
+            todo, shift = on if todo is None else todo[on], shift + self.bits
+            out[todo] |= deeper.codes.astype(np.int64) << shift
         return out
 
 
@@ -125,14 +125,6 @@ def pack_segment(doc_ids: list[int | None], sizes: np.ndarray, values: np.ndarra
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def head_of(data: bytes) -> tuple[int, int]:
-    """Documents and tokens of a segment, by its head."""
-    magic, _, _, n_docs, size = _HEAD.unpack_from(data)
-    if magic != MAGIC:
-        raise ValueError("not a segment file")
-    return n_docs, size
-
-
 class Segment:
     """A segment file's content: documents and their tokens, each directly addressable."""
 
@@ -170,16 +162,38 @@ class Segment:
             yield d if self.known[i] else None, a, values[a:b]
 
 
+class _Parts(dict):
+    """Ids of what the pattern cuts, coded when first asked for. A full table becomes the ``old`` one of the next, which takes over what is used again."""
+
+    def __init__(self, code: Callable[[str], bytes], old: dict[str, bytes]):
+        self.code, self.old = code, old
+
+    def __missing__(self, part: str) -> bytes:
+        got = self[part] = self.old.get(part) or self.code(part)
+        return got
+
+    def next(self) -> _Parts:
+        self.old = {}
+        return _Parts(self.code, self)
+
+
 class ByteBpe:
     """Whole-text ids of a byte-level vocabulary of the ``tokenizers`` library, with the work for repeated words done once.
 
-    A text whose white space is single spaces and line feeds between other characters falls apart at these places, whatever
-    stands around them; such parts are kept with their ids. Other texts go to the library whole.
+    Where white space follows something else a text falls apart, whatever stands around. Up to U+024F the vocabulary's pattern
+    is stated here and cuts a text into parts, which the library's model codes. Beyond that it depends on the library's Unicode
+    tables what a letter is, so what stands between white space goes to the library with such a character in it. Texts with
+    white space other than spaces and line feeds go there whole, as do those with special strings.
     """
 
-    _SIGNS = frozenset(".,;:!?")
+    _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+    _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
+    _LATIN = re.compile(_PATTERN)
+    _MIXED = re.compile(rf" ?[^\sɐ-\U0010ffff]*[^\s\x00-ɏ]\S*|{_PATTERN}")
     _BEYOND_LATIN = re.compile(r"[^\x00-ɏ]")
-    _CHUNKS, _PARTS = 160_000, 200_000  # of each of two tables, at most about 35 and 40 MB
+    _OTHER_WHITE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    _BORDER = re.compile(r"\S(?=\s)")
+    _HELD, _AT_ONCE = 300_000, 1 << 20  # parts in the new and in the old table, each; characters of a long text
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -187,71 +201,47 @@ class ByteBpe:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.symbols = dict(enumerate(byte_symbols()))
         self.space = self.symbols[32]
-        self.feed = self._ids("\n")
-        # After a space, or after a line feed that stands before the key. A full table becomes the old one, from which what is used again is taken over.
-        self.chunks: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}  # what the pattern cuts these into
-        self.old_parts: dict[str, bytes] = {}
+        self.parts = _Parts(self._coded, {})
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, text: str) -> bytes:
-        if self._BEYOND_LATIN.search(text):
+    def _coded(self, part: str) -> bytes:
+        if part.isascii() and part.isprintable():
+            symbols = part.replace(" ", self.space)  # the others are their own symbols
+        elif self._BEYOND_LATIN.search(part):
+            return self._ids(part)
+        else:
+            symbols = part.encode().decode("latin-1").translate(self.symbols)
+        ids = [t.id for t in self.tokenize(symbols)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _cut(self, text: str) -> Iterator[str]:
+        """A long text in pieces that end where white space follows."""
+        begin = 0
+        while len(text) - begin > self._AT_ONCE and (m := self._BORDER.search(text, begin + self._AT_ONCE)):
+            yield text[begin : m.end()]
+            begin = m.end()
+        yield text[begin:]
+
+    def _text(self, text: str) -> bytes:
+        if self._OTHER_WHITE.search(text) or any(s in text for s in self.special):
             return self._ids(text)
-        return b"".join([self._part(p.encode().decode("latin-1").translate(self.symbols)) for p in self.pattern.findall(text)])
-
-    def _part(self, part: str) -> bytes:
-        """Ids of what the pattern cuts, given in the vocabulary's symbols."""
-        if (got := self.parts.get(part)) is None:
-            if (got := self.old_parts.get(part)) is None:
-                ids = [t.id for t in self.model.tokenize(part)]
-                got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.parts) > self._PARTS:
-                self.old_parts, self.parts = self.parts, {}
-            self.parts[part] = got
-        return got
-
-    def _chunk(self, space: str, word: str) -> bytes:
-        """What stands between white space, most of it letters with one sign at most, which the pattern needn't cut and which are their own symbols."""
-        if word.isascii():
-            if word.isalpha():
-                return self._part(self.space + word if space else word)
-            if word[-1:] in self._SIGNS and (head := word[:-1]).isalpha():
-                return self._part(self.space + head if space else head) + self._part(word[-1])
-        return self._piece(space + word)
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Put chunks that aren't in the table into it."""
-        fresh = {c for c in chunks if c not in self.chunks}  # a difference from a view would go through the whole table
-        if len(self.chunks) + len(fresh) > self._CHUNKS:
-            self.old_chunks, self.chunks, fresh = self.chunks, {}, chunks
-        again = fresh & self.old_chunks.keys()
-        self.chunks.update((c, self.old_chunks[c]) for c in again)
-        for c in fresh - again:
-            self.chunks[c] = self.feed + self._chunk("", c[1:]) if c[:1] == "\n" else self._chunk(" ", c)
+        pattern = self._LATIN if text.isascii() or not self._BEYOND_LATIN.search(text) else self._MIXED
+        out = []
+        for piece in self._cut(text):
+            out.append(b"".join(map(self.parts.__getitem__, pattern.findall(piece))))
+            if len(self.parts) > self._HELD:
+                self.parts = self.parts.next()
+        return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out, cut = [b""] * len(texts), {}
-        for n, text in enumerate(texts):
-            if not text:
-                continue
-            # White space other than single spaces and line feeds between other characters, or special strings.
-            if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(s in text for s in self.special):
-                out[n] = self._ids(text)
-            else:
-                out[n], *cut[n] = text.replace("\n", " \n").split(" ")
-        self._learn(set().union(*cut.values()))
-        for n, chunks in cut.items():
-            out[n] = self._chunk("", out[n]) + b"".join(map(self.chunks.__getitem__, chunks))
-        return out
+        return [self._text(t) if t else b"" for t in texts]
 
 
 _LOADED: dict[str, ByteBpe] = {}
@@ -263,13 +253,22 @@ def byte_bpe(path: str) -> ByteBpe:
     return _LOADED[path]
 
 
-MANIFEST = "segment_part int, segment_no int, path string, n_docs long, n_tokens long, first_token long"
-
-
 def _files(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("path", "content").where(F.length("content") > 0)
 
 
+def _heads(files: DataFrame) -> DataFrame:
+    """(segment_part, segment_no, path, n_docs, n_tokens) of segment files, by their names and heads."""
+    name, digits = r"part-(\d+)-.*-c(\d+)\.\w+$", F.hex(F.substring("content", 1, _HEAD.size))
+
+    def number(at: int) -> Column:
+        return F.conv(F.concat(*[F.substring(digits, 2 * (at + k) + 1, 2) for k in reversed(range(8))]), 16, 10).cast("long")
+
+    checked = F.when(F.substring(digits, 1, 2 * len(MAGIC)) == MAGIC.hex().upper(), number(8)).otherwise(F.raise_error(F.lit("not a segment file")).cast("long"))
+    parts = [F.regexp_extract("path", name, k).cast("int").alias(c) for k, c in ((1, "segment_part"), (2, "segment_no"))]
+    return files.where(F.col("path").rlike(name)).select(*parts, "path", checked.alias("n_docs"), number(16).alias("n_tokens"))
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str | None = None, segment_tokens: int = 1 << 21, bits: int = 8) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write segment files into the new folder ``out``; returns the manifest, in order of its first token.
 
@@ -304,18 +303,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out: str | None =
         if ids:
             yield flush()
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(int(m[1]), int(m[2]), path, *head_of(data.as_py())) for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True) if (m := re.search(r"part-(\d+)-.*-c(\d+)\.\w+$", path))]
-            columns = list(zip(*found, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["segment_part", "segment_no", "path", "n_docs", "n_tokens"])
-
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     segments = ordered.mapInArrow(run, "content binary").select(F.col("content").cast("string"))
     # Bytes as they are, and one record for each file.
     segments.write.option("compression", "none").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(out)
-    files = _files(spark, out).select("path", F.substring("content", 1, _HEAD.size).alias("content"))
-    found = written(files.mapInArrow(heads, MANIFEST.rpartition(",")[0]), "manifest")
+    found = written(_heads(_files(spark, out)), "manifest")
     # Places of first tokens: sums of whole parts first, then inside each part, so no task sees all segments.
     parts = found.groupBy("segment_part").agg(F.sum("n_tokens").alias("part_tokens"))
     grouped = parts.withColumn("block", F.floor(F.col("segment_part") / 1000))
